@@ -1,0 +1 @@
+"""Empty on purpose: every workload this engine covers is a batch job."""
