@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.columns import is_credit, is_debit, month_index, month_start
+from tallyscope.functions.columns import is_credit, is_debit, money, month_index, month_start
 
 
 def monthly_activity(txns: DataFrame) -> DataFrame:
@@ -109,9 +109,11 @@ def tail(field: str, k: Column, months: str = "newest") -> Column:
 
 def minimal_features(txns: DataFrame) -> DataFrame:
     """The older averages: means over the months that have a transaction, without gap filling."""
-    income = F.coalesce(F.col("credits_sum"), F.lit(0)).cast("double")
-    outflow = F.coalesce(F.col("debits_sum"), F.lit(0)).cast("double")
+    zero = F.lit(0).cast("decimal(28,2)")
+    income = F.coalesce(F.col("credits_sum").cast("decimal(28,2)"), zero)
+    outflow = F.coalesce(F.col("debits_sum").cast("decimal(28,2)"), zero)
     months = F.col("active_months")
+    saved = F.try_divide((income - outflow).cast("double"), income.cast("double"))
     return (
         monthly_activity(txns)
         .groupBy("customer_id")
@@ -119,8 +121,8 @@ def minimal_features(txns: DataFrame) -> DataFrame:
              F.count(F.lit(1)).alias("active_months"))
         .select(
             "customer_id",
-            F.round(income / months, 2).alias("avg_monthly_income"),
-            F.round(outflow / months, 2).alias("avg_monthly_outflow"),
-            F.round(F.try_divide(income - outflow, income), 4).alias("savings_ratio"),
+            money(income / months).alias("avg_monthly_income"),
+            money(outflow / months).alias("avg_monthly_outflow"),
+            F.round(saved, 4).alias("savings_ratio"),
         )
     )
