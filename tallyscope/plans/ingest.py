@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyscope.functions.columns import month_index
 from tallyscope.operators import ingest as op
-from tallyscope.schemas import CUSTOMERS, INGESTION_LOG, LABELS, TRANSACTIONS
-from tallyscope.session import cut
+from tallyscope.schemas import (
+    CUSTOMERS,
+    INGESTION_LOG,
+    LABELS,
+    STORED_TRANSACTIONS,
+    TRANSACTIONS,
+)
 from tallyscope.sources import tables
 from tallyscope.sources.csv_files import read_csv
 
@@ -17,7 +24,7 @@ def _log(checked: DataFrame, root: str) -> None:
 
 def ingest_customers(spark: SparkSession, root: str, path: str, multiline: bool = False) -> None:
     """Last row of a customer wins, within the file and over the stored table."""
-    checked = cut(op.check_customers(read_csv(spark, path, CUSTOMERS, multiline)))
+    checked = op.check_customers(read_csv(spark, path, CUSTOMERS, multiline))
     stored = tables.read_snapshot(spark, root, "customers", CUSTOMERS)
     merged = op.last_wins(op.accepted(checked), ["customer_id"], stored)
     tables.write_snapshot(merged, root, "customers", CUSTOMERS)
@@ -27,11 +34,15 @@ def ingest_customers(spark: SparkSession, root: str, path: str, multiline: bool
 def ingest_transactions(
     spark: SparkSession, root: str, path: str, multiline: bool = False
 ) -> None:
-    """Stored transactions never change; only unseen content ids are appended."""
-    checked = cut(op.check_transactions(read_csv(spark, path, TRANSACTIONS, multiline)))
-    stored = tables.read(spark, root, "transactions", TRANSACTIONS)
-    new = op.first_wins(op.accepted(checked), ["transaction_id"], stored)
-    tables.append(new, root, "transactions", TRANSACTIONS)
+    """Stored transactions never change; only unseen content ids are appended.
+
+    The date is part of the content id, so an id can only be stored in its own month.
+    """
+    checked = op.check_transactions(read_csv(spark, path, TRANSACTIONS, multiline))
+    new = op.accepted(checked).withColumn("month_idx", month_index(F.col("date")))
+    stored = tables.read(spark, root, "transactions", STORED_TRANSACTIONS)
+    unseen = op.first_wins(new, ["month_idx", "transaction_id"], stored)
+    tables.append_transactions(unseen, root)
     _log(checked, root)
 
 
@@ -40,7 +51,7 @@ def ingest_labels(
     multiline: bool = False,
 ) -> None:
     """Last label of a customer and product wins."""
-    checked = cut(op.check_labels(read_csv(spark, path, LABELS, multiline), products))
+    checked = op.check_labels(read_csv(spark, path, LABELS, multiline), products)
     stored = tables.read_snapshot(spark, root, "labels", LABELS)
     merged = op.last_wins(op.accepted(checked), ["customer_id", "product"], stored)
     tables.write_snapshot(merged, root, "labels", LABELS)

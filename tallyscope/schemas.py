@@ -34,6 +34,11 @@ TRANSACTIONS = _table(
     ("recurring_group_id", T.StringType()),
 )
 
+# The stored form: partitioned by calendar month, counted from year 0.
+STORED_TRANSACTIONS = T.StructType(
+    [*TRANSACTIONS.fields, T.StructField("month_idx", T.IntegerType())]
+)
+
 LABELS = _table(
     ("customer_id", T.StringType()),
     ("product", T.StringType()),

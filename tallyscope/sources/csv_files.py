@@ -12,9 +12,10 @@ def read_csv(
 ) -> DataFrame:
     """Raw text columns of ``schema`` by header name; columns a file lacks become NULL.
 
-    ``seq`` orders the rows of one file as they stand in it: first by the offset of the split,
-    then by position within the split. It needs no shuffle. Cells with line breaks inside
-    quotes need ``multiline``, which reads each file in one piece.
+    ``seq`` orders files by name and the rows of a file as they stand in it: first by the
+    offset of the split, then by position within the split. It needs no shuffle and is the same
+    on every read. Cells with line breaks inside quotes need ``multiline``, which reads each
+    file in one piece.
     """
     raw = (
         spark.read.option("header", True)
@@ -32,6 +33,7 @@ def read_csv(
         *columns,
         F.col("_metadata.file_path").alias("source_file"),
         F.struct(
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("offset"),
             F.monotonically_increasing_id().alias("position"),
         ).alias("seq"),

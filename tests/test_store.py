@@ -6,7 +6,7 @@ import pytest
 
 from tallyscope.operators import store
 from tallyscope.plans import nightly
-from tallyscope.schemas import FEATURE_NAMES, FEATURES, TRANSACTIONS
+from tallyscope.schemas import FEATURE_NAMES, FEATURES
 from tallyscope.sources import tables
 from test_features import EXPECTED, worked_example
 
@@ -29,7 +29,7 @@ def history(spark):
 
 def test_nightly_twice_keeps_the_row_count(spark, make_txns, tmp_path):
     root = str(tmp_path)
-    tables.append(make_txns(worked_example()), root, "transactions", TRANSACTIONS)
+    tables.append_transactions(make_txns(worked_example()), root)
     for _ in range(2):
         counts = nightly.run_nightly(spark, root, DAY)
         assert counts == {"customers": 1, "features": 20, "warnings": 0}
