@@ -43,8 +43,8 @@ def series_drift(txns: DataFrame) -> DataFrame:
     )
     day = F.dayofmonth("date")
     parts = (
-        days.withColumn("payments", F.sum("n").over(whole))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        days.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("payments", F.sum("n").over(whole))
         .withColumn("early", early)
         .groupBy(*SERIES)
         .agg(

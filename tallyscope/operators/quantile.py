@@ -25,10 +25,16 @@ def exact_quantile(
     of a key. ``wanted`` limits the work to some keys; ``weight`` names a row-count column.
     """
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    # a bucket number that cannot be NULL keeps both readers of the cells on one shuffle
+    bucket = F.coalesce(F.floor(F.col("_v") / F.lit(width)), F.lit(0))
+    known = F.col(value).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     cells = (
-        df.groupBy(*keys, F.col(value).alias("_v"))
+        df.where(known)
+        .groupBy(*keys, F.col(value).alias("_v"))
         .agg(times.alias("_n"))
-        .withColumn("_b", F.floor(F.col("_v") / F.lit(width)))
+        .withColumn("_b", bucket)
     )
     by_bucket = Window.partitionBy(*keys).orderBy("_b")
     whole = Window.partitionBy(*keys)
