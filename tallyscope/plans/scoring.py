@@ -14,6 +14,7 @@ from tallyscope.schemas import (
     CONFIG_CHANGE_LOG,
     CUSTOMERS,
     LABELS,
+    LEADS,
     MODEL_VERSION,
     THRESHOLDS,
 )
@@ -58,10 +59,9 @@ def run_leads(
 ) -> DataFrame:
     """Score everyone once, store the ranked leads, and audit every score and the list."""
     gated, vectors = gated_customers(spark, root, product)
-    plain = gated.drop("gate_result", "rules_checked", "rules_failed")
-    ranked = leads.rank_leads(plain, product, min_score, read_thresholds(spark, root))
-    ranked.write.mode("overwrite").parquet(f"{root}/leads/{product}")
-    stored = spark.read.parquet(f"{root}/leads/{product}")
+    table = f"leads_{product}"
+    tables.write_snapshot(leads.list_leads(gated, min_score), root, table, LEADS)
+    stored = read_leads(spark, root, product)
     versions = [
         artifacts.load_manifest(spark, f"{root}/models/{name}")["model_version"]
         for name in ("capacity", f"intent_{product}")
@@ -73,6 +73,14 @@ def run_leads(
     return stored
 
 
+def read_leads(spark: SparkSession, root: str, product: str = "home_loan") -> DataFrame:
+    """The stored leads in rank order."""
+    stored = tables.read_snapshot(spark, root, f"leads_{product}", LEADS)
+    if stored is None:
+        raise RuntimeError("no leads are stored")
+    return stored.orderBy(stored.intent_score.desc(), stored.customer_id)
+
+
 def score_records(spark: SparkSession, root: str, product: str = "home_loan") -> DataFrame:
     """The nested score record of every customer, with reason codes for the intent score."""
     gated, vectors = gated_customers(spark, root, product)

@@ -70,6 +70,16 @@ THRESHOLDS = _table(
     ("min_confidence", T.DoubleType()),
 )
 
+LEADS = _table(
+    ("customer_id", T.StringType()),
+    ("name", T.StringType()),
+    ("intent_score", T.DoubleType()),
+    ("estimated_income", T.DoubleType()),
+    ("dti", T.DoubleType()),
+    ("confidence", T.DoubleType()),
+    ("gate_result", T.StringType()),
+)
+
 AUDIT_LOG = _table(
     ("customer_id", T.StringType()),
     ("product", T.StringType()),

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False
 ) -> DataFrame:
-    """Raw text columns of ``schema`` by header name; columns a file lacks become NULL.
+    """Raw text columns of ``schema`` by header name.
+
+    A blank cell is an empty string; a column the file does not have is NULL.
 
     ``seq`` orders files by name and the rows of a file as they stand in it: first by the
     offset of the split, then by position within the split. It needs no shuffle and is the same
@@ -26,7 +28,7 @@ def read_csv(
     )
     names = [f for f in schema.fieldNames() if f != "transaction_id"]
     columns = [
-        F.col(f"`{n}`") if n in raw.columns else F.lit(None).cast("string").alias(n)
+        F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) if n in raw.columns else F.lit(None).cast("string").alias(n)
         for n in names
     ]
     return raw.select(

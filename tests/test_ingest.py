@@ -161,3 +161,12 @@ def test_hot_duplicate_key_is_cut_before_the_shuffle(spark, write):
     plan = ingest.first_wins(new, ["transaction_id"])._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
     assert ingest.first_wins(new, ["transaction_id"]).count() == 1
+
+
+def test_absent_required_columns_are_errors(spark, write):
+    path = write("c.csv", ["customer_id"], [["c1"]])
+    assert ingest.check_customers(read_csv(spark, path, CUSTOMERS)).first()["error_count"] == 1
+    path = write("l.csv", ["customer_id", "product"], [["c1", "home_loan"]])
+    assert ingest.check_labels(read_csv(spark, path, LABELS)).first()["error_count"] == 1
+    path = write("t.csv", TXN_HEADER[:3], [txn()[:3]])
+    assert ingest.check_transactions(read_csv(spark, path, TRANSACTIONS)).first()["error_count"] == 2
