@@ -22,6 +22,7 @@ MIN_SCORE = 0.4
 OUTLIER_SHARE = 0.3
 SEED = 42
 GROUP_ROWS = 10_000
+CHUNK_GROUPS = 5
 SERIES = ["customer_id", "recurring_group_id"]
 
 
@@ -143,7 +144,7 @@ def _long_series(rows: DataFrame, series: DataFrame, group_rows: int) -> DataFra
         .applyInPandas(_grow_packed,
                        "customer_id string, recurring_group_id string, forest binary")
     )
-    chunks = F.ceil(F.col("payments") / group_rows).cast("int")
+    chunks = F.ceil(F.col("payments") / (CHUNK_GROUPS * group_rows)).cast("int")
     dealt = cells.withColumn("chunk", F.pmod(draw, chunks).cast("int"))
     per_chunk = series.select(
         *SERIES, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
@@ -165,11 +166,17 @@ def _long_series(rows: DataFrame, series: DataFrame, group_rows: int) -> DataFra
                 "upto")
         .where(F.col("upto") > F.col("half"))
     )
+    # only the day that contains the cut needs its rows in order
+    dated = scored.join(days, [*SERIES, "date"])
     on_day = Window.partitionBy(*SERIES, "date").orderBy("amount")
-    later = (
-        scored.join(days, [*SERIES, "date"])
+    cut_day = (
+        dated.where(F.col("before") < F.col("half"))
         .withColumn("reach", F.col("before") + F.sum("n").over(on_day))
         .where(F.col("reach") > F.col("half"))
+    )
+    later = (
+        dated.where(F.col("before") >= F.col("half")).select(*SERIES, "score")
+        .unionByName(cut_day.select(*SERIES, "score"))
         .groupBy(*SERIES)
         .agg(F.min("score").alias("worst"))
     )

@@ -239,6 +239,18 @@ def test_long_series_path_scores_every_row(make_txns):
     assert abs(whole - split) < 0.25
 
 
+def test_long_series_path_splits_the_middle_day(make_txns):
+    """All rows on few days: the cut falls inside a day, and both paths see the same later half."""
+    rows = [("c1", "2024-01-02", 10 + i, "debit", "rent", "r") for i in range(10)]
+    rows += [("c1", "2024-02-20", 50 + i, "debit", "rent", "r") for i in range(30)]
+    rows += [("c1", "2024-03-25", 500 + i, "debit", "rent", "r") for i in range(10)]
+    txns = make_txns(rows)
+    assert billshift.series_drift(txns).first()["drift"] > 3
+    whole = billshift.series_scores(txns).first()["score"]
+    split = billshift.series_scores(txns, group_rows=49).first()["score"]
+    assert abs(whole - split) < 0.15
+
+
 # --- whole tables ------------------------------------------------------------------------
 
 

@@ -5,9 +5,16 @@ import hashlib
 
 import pytest
 
+from tallyscope.functions.columns import month_index
 from tallyscope.operators import ingest
 from tallyscope.plans import ingest as jobs
-from tallyscope.schemas import CUSTOMERS, INGESTION_LOG, LABELS, TRANSACTIONS
+from tallyscope.schemas import (
+    CUSTOMERS,
+    INGESTION_LOG,
+    LABELS,
+    STORED_TRANSACTIONS,
+    TRANSACTIONS,
+)
 from tallyscope.sources import tables
 from tallyscope.sources.csv_files import read_csv
 
@@ -170,3 +177,17 @@ def test_absent_required_columns_are_errors(spark, write):
     assert ingest.check_labels(read_csv(spark, path, LABELS)).first()["error_count"] == 1
     path = write("t.csv", TXN_HEADER[:3], [txn()[:3]])
     assert ingest.check_transactions(read_csv(spark, path, TRANSACTIONS)).first()["error_count"] == 2
+
+
+def test_load_prunes_stored_months(spark, write, tmp_path):
+    """A small load is compared with stored ids of its own months only."""
+    root = str(tmp_path / "lake")
+    path = write("t.csv", TXN_HEADER, [txn(date=f"2024-{m:02d}-05") for m in range(1, 10)])
+    jobs.ingest_transactions(spark, root, path)
+    stored = tables.read(spark, root, "transactions", STORED_TRANSACTIONS)
+    assert stored.count() == 9
+    new = ingest.accepted(checked(spark, write, [txn(), txn(amount="9")]))
+    new = new.withColumn("month_idx", month_index(new.date))
+    unseen = ingest.first_wins(new, ["month_idx", "transaction_id"], stored)
+    assert "dynamicpruning" in unseen._jdf.queryExecution().toString()
+    assert unseen.count() == 1
