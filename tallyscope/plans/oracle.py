@@ -326,9 +326,7 @@ HISTORY = ", ".join([
         for n in PLAIN_NAMES
     ) + " FROM history GROUP BY customer_id)",
 ])
-GATED = ", ".join([
-    TXNS, cash(), pay(), DEBT,
-    """scored AS (
+SCORED = """scored AS (
   SELECT customer_id, c_name AS name, 'home_loan' AS product,
          avg_monthly_income - avg_monthly_outflow AS q50,
          round(greatest(0.0, least(1.0, CAST(0.5 AS DOUBLE) + coalesce(income_growth_pct, 0.0)
@@ -348,8 +346,16 @@ GATED = ", ".join([
               WHEN account_vintage_months < 6 OR least(cap_conf, int_conf) < 0.3
               THEN 'manual_review' ELSE 'pass' END AS gate_result
   FROM scored
-)""",
-])
+)"""
+GATED = ", ".join([TXNS, cash(), pay(), DEBT, SCORED])
+HASHES = """
+hashes AS (
+  SELECT customer_id, sha256(string_agg(feature_name || '='
+           || CAST(CAST(feature_value AS DECIMAL(38,6)) AS VARCHAR), ';' ORDER BY feature_name))
+           AS input_feature_hash
+  FROM (SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value
+        FROM history GROUP BY ALL) GROUP BY customer_id
+)"""
 LEADS = """SELECT customer_id, name, round(intent_score, 2) AS intent_score,
   round(q50, 2) AS estimated_income, round(dti, 4) AS dti, round(confidence, 4) AS confidence,
   gate_result FROM gated WHERE gate_result = 'pass' AND intent_score >= 20.0"""
@@ -502,12 +508,11 @@ SELECT customer_id, 'home_loan' AS product,
     "customers_list": """
 SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name FROM customer
 ORDER BY customer_id""",
-    "feature_hash": "WITH " + HISTORY + """
-SELECT customer_id, sha256(string_agg(feature_name || '='
-         || CAST(CAST(feature_value AS DECIMAL(38,6)) AS VARCHAR), ';' ORDER BY feature_name))
-         AS input_feature_hash
-FROM (SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value
-      FROM history GROUP BY ALL) GROUP BY customer_id""",
+    "feature_hash": "WITH " + HISTORY + ", " + HASHES + "SELECT * FROM hashes",
+    "score_audit": "WITH " + ", ".join([HISTORY, DEBT, SCORED, HASHES]) + """
+SELECT customer_id, product, '0.1.0' AS capacity_model_version,
+       '0.1.0' AS intent_model_version, gate_result, 'rm' AS requesting_role, input_feature_hash
+FROM gated JOIN hashes USING (customer_id)""",
     "audit_trail": """
 SELECT CAST(user_id AS VARCHAR) AS customer_id, 'home_loan' AS product,
        '0.1.0' AS capacity_model_version, '0.1.0' AS intent_model_version,

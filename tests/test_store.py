@@ -93,3 +93,11 @@ def test_as_of_read_prunes_partitions(spark, history, tmp_path):
     scan = plan.split("== Physical Plan ==")[1]
     filters = scan[scan.index("PartitionFilters"):][:200]
     assert "computed_at" in filters
+
+
+def test_stored_transactions_are_sorted_for_row_group_skipping(spark, make_txns, tmp_path):
+    txns = make_txns(worked_example("b") + worked_example("a"))
+    tables.append_transactions(txns, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/transactions/month_idx=24288").collect()
+    got = [(r["merchant_category"], r["customer_id"]) for r in rows]
+    assert got == sorted(got) and len(got) == 4
