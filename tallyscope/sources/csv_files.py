@@ -27,8 +27,9 @@ def read_csv(
         .csv(path)
     )
     names = [f for f in schema.fieldNames() if f != "transaction_id"]
+    blank, absent = F.lit(""), F.lit(None).cast("string")
     columns = [
-        F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) if n in raw.columns else F.lit(None).cast("string").alias(n)
+        (F.coalesce(F.col(f"`{n}`"), blank) if n in raw.columns else absent).alias(n)
         for n in names
     ]
     return raw.select(

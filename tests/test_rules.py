@@ -1,7 +1,6 @@
 """Gate, leads, audit and threshold rules."""
 
 import datetime as dt
-import random
 
 import pytest
 from pyspark.sql import functions as F
