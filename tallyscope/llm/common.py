@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,7 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's rows per Arrow batch to ``BATCH_ROWS``."""
+    """``df``, after lowering the session's rows per Arrow batch to ``BATCH_ROWS`` and letting
+    Python workers look for this package where the driver found it."""
+    root, environment = str(Path(__file__).parents[2]), df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:

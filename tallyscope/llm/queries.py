@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyscope.llm import mixing, quality
+from tallyscope.llm import langid, mixing, pii, quality, toxicity, warc
 from tallyscope.llm.common import table
 from tallyscope.llm.sentencepiece_codec import encoded_documents
 from tallyscope.llm.token_counts import token_report
@@ -29,7 +29,26 @@ def op7_token_counts(spark, sf_dir):
     return token_report(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark, sf_dir):
+    return langid.identified_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op3_mixing, op5_quality_rules, op7_token_counts,
+    op1_sentencepiece, op3_mixing, op5_quality_rules, op6_pii, op7_token_counts, op8_toxicity,
+    op9_warc, op10_language_id,
 )}
-ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_quality_rules": quality.ORACLE}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_quality_rules": quality.ORACLE,
+                          "op9_warc": warc.ORACLE}
