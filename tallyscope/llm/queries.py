@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyscope.llm import langid, mixing, pii, quality, toxicity, warc
+from tallyscope.llm import (
+    embedding_dedup,
+    jaccard_join,
+    langid,
+    mixing,
+    pii,
+    quality,
+    toxicity,
+    warc,
+)
 from tallyscope.llm.common import table
 from tallyscope.llm.sentencepiece_codec import encoded_documents
 from tallyscope.llm.token_counts import token_report
@@ -17,10 +26,18 @@ def op1_sentencepiece(spark, sf_dir):
     return encoded_documents(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -47,8 +64,8 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op3_mixing, op5_quality_rules, op6_pii, op7_token_counts, op8_toxicity,
-    op9_warc, op10_language_id,
+    op1_sentencepiece, op2_jaccard_join, op3_mixing, op4_embedding_dedup, op5_quality_rules,
+    op6_pii, op7_token_counts, op8_toxicity, op9_warc, op10_language_id,
 )}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_quality_rules": quality.ORACLE,
                           "op9_warc": warc.ORACLE}
