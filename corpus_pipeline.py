@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm.common import table
+from tallyscope.llm.jaccard_join import one_of_each
+from tallyscope.llm.langid import in_a_language
 from tallyscope.llm.mixing import mixed_documents
+from tallyscope.llm.pii import masked
 from tallyscope.llm.queries import PIECES
 from tallyscope.llm.sentencepiece_codec import encoded_documents
 from tallyscope.session import scratch_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that no mixture of learned languages explains."""
+    return in_a_language(docs)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    return one_of_each(docs, words=5, percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    return masked(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, cuts and leaves out documents so that sources have their target weights."""
     return mixed_documents(docs)
@@ -22,6 +40,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", join_near_copies),
+    ("pii", mask_personal_data),
     ("mixing", mix_sources),
     ("sentencepiece", encode),
 ]
