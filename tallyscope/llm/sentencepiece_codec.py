@@ -21,8 +21,8 @@ Null text gives null ids, empty text no ids. Literal marks in a text decode to s
 
 from __future__ import annotations
 
-import os.path
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,7 +36,10 @@ from tallyscope.llm.common import in_small_batches, pieces
 
 MARK = "▁"
 #: Segmented words remembered by a task before it starts over; bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Bytes of text that one step of a task works on; bounds memory only.
+STEP_BYTES = 2_000_000
+NEVER = float("-inf")
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -49,17 +52,20 @@ class Vocabulary:
             raise ValueError("a piece holds a mark after another character")
         self.scores, self.ids, self.kind = scores, ids, kind
         self.byte_ids, self.unknown = byte_ids, unknown
-        # longest piece that ends in these two characters
-        self.reach: dict[str, int] = {}
-        for piece in scores:
-            if kind == "unigram" or self.merge(piece) == [piece]:
-                end = piece[-2:]
-                self.reach[end] = max(self.reach.get(end, 0), len(piece))
-        self.alone = {p for p in scores if kind == "unigram" or self.merge(p) == [p]}
+        alone = [p for p in scores if kind == "unigram" or self.merge(p) == [p]]
+        self.alone = {p: ids[p] for p in alone}
+        # lengths of the pieces that end in these three characters, longest first
+        lengths: dict[str, set[int]] = {}
+        for piece in alone:
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: (*sorted(found, reverse=True), 2, 1) for end, found in lengths.items()}
         self.text_of = {i: p for p, i in ids.items()}
-        self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
+        self.bytes_of = {i: p.encode() for p, i in ids.items()} | {unknown: " \u2047 ".encode()}
+        self.bytes_of |= {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
         self.stable: dict = {}
-        self.known: dict = {}  # ids of words segmented before, for encode_texts
+        self.traces: dict = {}
+        self.known = KnownWords()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -85,26 +91,52 @@ class Vocabulary:
                    processor.unk_id(), kinds[model.trainer_spec.model_type])
 
     def separate(self, pair: tuple[str, str]) -> bool:
-        """Whether merging the two pieces' characters gives these two pieces."""
-        known = self.stable.get(pair)
-        if known is None:
-            if len(self.stable) > REMEMBERED:
-                self.stable.clear()
-            known = self.stable[pair] = self.merge(pair[0] + pair[1]) == [*pair]
+        """Whether merging the two pieces' characters gives these two pieces.
+
+        Each piece's own merges are known. Run side by side, best first and the left one of
+        equals, they meet only where the parts next to the border would merge before theirs.
+        """
+        left, right = self.trace(pair[0]), self.trace(pair[1])
+        x, y, i, j, known = pair[0][-1], pair[1][0], 0, 0, None
+        while known is None:
+            border = self.scores.get(x + y, NEVER)
+            a = left[i][0] if i < len(left) else NEVER
+            b = right[j][0] if j < len(right) else NEVER
+            if border > a and border >= b and border != NEVER:
+                known = False
+            elif a == b == NEVER:
+                known = True
+            elif a >= b:
+                x, i = left[i][2], i + 1
+            else:
+                y, j = right[j][1], j + 1
+        if len(self.stable) > REMEMBERED:
+            self.stable.clear()
+        self.stable[pair] = known
         return known
 
-    def merge(self, text: str) -> list[str]:
+    def trace(self, piece: str) -> list[tuple[float, str, str]]:
+        """The merges of a piece's characters: score, and the first and last part afterwards."""
+        found = self.traces.get(piece)
+        if found is None:
+            found = self.traces[piece] = []
+            self.merge(piece, found)
+        return found
+
+    def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Best-scored neighbours first, leftmost of equals, until no merge is a piece."""
         parts, scores = list(text), self.scores
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = NEVER, -1
             for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
+                score = scores.get(parts[i] + parts[i + 1], NEVER)
+                if score > best:
                     best, at = score, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
         return parts
 
     def char_ids(self, char: str) -> list[int]:
@@ -117,72 +149,100 @@ class ForwardStates:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.word = vocabulary, ""
-        self.last: list[str] = [""]  # piece that ends at each position
-        self.known: list[bool] = [True]
+        # for each position: the piece that ends there (empty for an unknown character, which
+        # merges with nothing), the ids up to there, and the best sum of scores
+        self.last: list[str] = [""]
+        self.path: list[tuple[int, ...]] = [()]
         self.best: list[float] = [0.0]
         # an unknown character costs more than any path of known pieces, as in the published model
         self.floor = min(vocabulary.scores.values(), default=0.0) - 10.0
 
-    def advance(self, word: str) -> None:
+    def advance(self, word: str) -> tuple[int, ...]:
         """Goes up to the common prefix of the last word and down to the end of this one."""
-        shared = len(os.path.commonprefix((self.word, word)))
-        del self.last[shared + 1 :], self.known[shared + 1 :], self.best[shared + 1 :]
+        before, shared = self.word, 0
+        for x, y in zip(before, word, strict=False):
+            if x != y:
+                break
+            shared += 1
+        del self.last[shared + 1 :], self.path[shared + 1 :], self.best[shared + 1 :]
         self.word = word
-        step = self._bpe if self.vocabulary.kind == "bpe" else self._unigram
-        for end in range(shared + 1, len(word) + 1):
-            step(word, end)
-
-    def _bpe(self, word: str, end: int) -> None:
-        v, last, known = self.vocabulary, self.last, self.known
-        alone, stable = v.alone, v.stable
-        reach = max(v.reach.get(word[end - 2 : end], 0) if end > 1 else 1, 1)
-        for start in range(max(0, end - reach), end):
-            piece = word[start:end]
-            if piece in alone:
-                # nothing merges across the start or an unknown character
-                pair = (last[start], piece)
-                if not start or not known[start] or stable.get(pair) or (
-                        pair not in stable and v.separate(pair)):
-                    last.append(piece)
-                    known.append(True)
-                    return
-        last.append(word[end - 1])
-        known.append(False)
-
-    def _unigram(self, word: str, end: int) -> None:
-        v, best, choice = self.vocabulary, None, ""
-        reach = max(v.reach.get(word[max(0, end - 2) : end], 0), 1)
-        for start in range(max(0, end - reach), end):
-            piece = word[start:end]
-            score = v.scores.get(piece)
-            if score is not None and (best is None or self.best[start] + score > best):
-                best, choice = self.best[start] + score, piece
-        known = best is not None
-        if word[end - 1] not in v.scores:
-            alone = self.best[end - 1] + self.floor
-            if best is None or alone > best:
-                best, choice, known = alone, word[end - 1], False
-        self.best.append(best)
-        self.last.append(choice)
-        self.known.append(known)
-
-    def ids(self) -> tuple[int, ...]:
-        """Ids of the current word, read back from its end."""
-        out, end, v = [], len(self.word), self.vocabulary
-        while end:
-            piece = self.last[end]
-            out.append([v.ids[piece]] if self.known[end] else v.char_ids(piece))
-            end -= len(piece)
-        return tuple(chain.from_iterable(reversed(out)))
+        (self._bpe if self.vocabulary.kind == "bpe" else self._unigram)(word, shared + 1)
+        return self.path[-1]
+
+    def _bpe(self, word: str, begin: int) -> None:
+        v, last, path = self.vocabulary, self.last, self.path
+        alone, stable, separate, lengths = v.alone, v.stable, v.separate, v.lengths
+        for end in range(begin, len(word) + 1):
+            for length in lengths.get(word[max(0, end - 3) : end], (2, 1)):
+                start = end - length
+                if start < 0:
+                    continue
+                piece = word[start:end]
+                if piece in alone:
+                    # nothing merges across the word's start or an unknown character
+                    pair = (last[start], piece)
+                    if not pair[0] or (stable[pair] if pair in stable else separate(pair)):
+                        last.append(piece)
+                        path.append((*path[start], alone[piece]))
+                        break
+            else:
+                last.append("")
+                path.append((*path[end - 1], *v.char_ids(word[end - 1])))
+
+    def _unigram(self, word: str, begin: int) -> None:
+        v, scores = self.vocabulary, self.best
+        for end in range(begin, len(word) + 1):
+            best, at, piece = None, 0, ""
+            for length in v.lengths.get(word[max(0, end - 3) : end], (2, 1)):
+                start = end - length
+                score = v.scores.get(word[start:end]) if start >= 0 else None
+                if score is not None and (best is None or scores[start] + score > best):
+                    best, at, piece = scores[start] + score, start, word[start:end]
+            if word[end - 1] not in v.scores:
+                alone = scores[end - 1] + self.floor
+                if best is None or alone > best:
+                    best, at, piece = alone, end - 1, ""
+            scores.append(best)
+            self.last.append(piece)
+            own = (v.ids[piece],) if piece else v.char_ids(word[end - 1])
+            self.path.append((*self.path[at], *own))
+
+
+class KnownWords:
+    """Ids of the words segmented so far, in one flat array."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.flat, self.begins = array("i"), array("q", [0])
+
+    def learn(self, words: set[str], vocabulary: Vocabulary) -> None:
+        """One walk over the trie of the sorted new words."""
+        fresh = words - self.rows.keys()
+        if len(self.rows) > REMEMBERED:
+            self.__init__()
+            fresh = words
+        states = ForwardStates(vocabulary)
+        for word in sorted(fresh):
+            self.flat.extend(states.advance(word))
+            self.rows[word] = len(self.rows)
+            self.begins.append(len(self.flat))
+
+    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts' words in a row, and where each text's begin and end."""
+        each = np.fromiter(map(len, words), np.int64, len(words))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64,
+                           each.sum())
+        begins = np.frombuffer(self.begins, np.int64)
+        length = begins[rows + 1] - begins[rows]
+        upto = np.r_[0, np.cumsum(length)]
+        at = np.repeat(begins[rows] - upto[:-1], length) + np.arange(upto[-1])
+        return np.frombuffer(self.flat, np.int32)[at], upto[np.r_[0, np.cumsum(each)]]
 
 
 def segment(words: set[str], vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     """Ids of each distinct marked word, from one walk over the trie of the sorted words."""
-    states, out = ForwardStates(vocabulary), {}
-    for word in sorted(words):
-        states.advance(word)
-        out[word] = states.ids()
-    return out
+    states = ForwardStates(vocabulary)
+    return {word: states.advance(word) for word in sorted(words)}
 
 
 def marked_words(text: str) -> list[str]:
@@ -191,19 +251,9 @@ def marked_words(text: str) -> list[str]:
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """The text of ids; runs of byte pieces are read as UTF-8, broken ones as U+FFFD."""
-    out, held = [], bytearray()
-    for i in ids:
-        byte = vocabulary.byte_of.get(i)
-        if byte is not None:
-            held.append(byte)
-            continue
-        if held:
-            out.append(held.decode(errors="replace"))
-            held.clear()
-        out.append(vocabulary.text_of.get(i, " ⁇ " if i == vocabulary.unknown else ""))
-    out.append(held.decode(errors="replace"))
-    text = "".join(out).replace(MARK, " ")
-    return text.removeprefix(" ")
+    get = vocabulary.bytes_of.get
+    data = b"".join([get(i, b"") for i in ids])
+    return data.decode(errors="replace").replace(MARK, " ").removeprefix(" ")
 
 
 def _replaced(df: DataFrame, source: str, name: str, kind: T.DataType):
@@ -225,20 +275,13 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", name: str = "ids
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         known = vocabulary.known  # lives as long as the Python worker
-        for batch in chain.from_iterable(pieces(b, text) for b in batches):
+        for batch in chain.from_iterable(pieces(b, text, STEP_BYTES) for b in batches):
             words = [marked_words(t) if t is not None else None
                      for t in batch.column(text).to_pylist()]
-            fresh = set().union(*filter(None, words)) - known.keys()
-            if len(known) > REMEMBERED:
-                known.clear()
-                fresh = set().union(*filter(None, words))
-            known |= segment(fresh, vocabulary)
-            get = known.__getitem__
-            rows = [np.fromiter(chain.from_iterable(map(get, w or ())), np.int32) for w in words]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            values = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))
+            known.learn(set().union(*filter(None, words)), vocabulary)
+            values, offsets = known.ids([w or [] for w in words])
             missing = pa.array([w is None for w in words], pa.bool_())
-            ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=missing)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=missing)
             yield pa.RecordBatch.from_arrays([*batch.columns, ids],
                                              names=[*batch.schema.names, name])
 
@@ -253,9 +296,10 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", name: str = "text")
     kept, schema = _replaced(df, ids, name, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
         for batch in batches:
-            texts = pa.array([None if i is None else decode(i, shared.value)
-                              for i in (v.as_py() for v in batch.column(ids))], pa.string())
+            texts = pa.array([None if i is None else decode(i, vocabulary)
+                              for i in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts],
                                              names=[*batch.schema.names, name])
 
