@@ -1,0 +1,79 @@
+"""The join against all pairs on small corpora."""
+
+import re
+
+import numpy as np
+import pytest
+
+from tallyscope.llm import jaccard_join as join
+
+
+def brute(rows, words, percent):
+    sets = {}
+    for i, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        found = re.findall(r"[^\x20\x09-\x0d]+", low)
+        if len(found) >= words:
+            sets[i] = {tuple(found[k : k + words]) for k in range(len(found) - words + 1)}
+        else:
+            sets[i] = {tuple(found)} if found else set()
+    parent = {i: i for i in sets}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            same = len(sets[x] & sets[y]) if x < y else 0
+            if same and 100 * same >= percent * (len(sets[x]) + len(sets[y]) - same):
+                a, b = root(x), root(y)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(25):
+        base = list(rng.choice(words, int(rng.integers(3, 90))))
+        for _ in range(40 if group == 0 else int(rng.integers(1, 9))):
+            text = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(text) // 12)))):
+                k = int(rng.integers(0, len(text)))
+                if rng.random() < 0.5:
+                    text[k] = str(rng.choice(words))
+                else:
+                    text.insert(k, "Z")
+            joined = " ".join(text)
+            rows.append((len(rows), joined if rng.random() < 0.9 else joined.upper()))
+    n = len(rows)
+    return rows + [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "a b"), (n + 4, "A  B"), (n + 5, "a b c")]
+
+
+@pytest.mark.parametrize("words,percent,block", [(3, 90, 4096), (5, 80, 16)])
+def test_components_equal_all_pairs(documents_of, monkeypatch, words, percent, block):
+    monkeypatch.setattr(join, "BLOCK", block)
+    rows = corpus()
+    found = join.linked_documents(documents_of(rows), words, percent).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
+    assert len(found) == len(rows)
+    assert got == brute(rows, words, percent)
+
+
+def test_odd_rows(odd_documents):
+    rows = join.linked_documents(odd_documents).collect()
+    assert len(rows) == odd_documents.count()
+    assert all(r.component_id == r.doc_id for r in rows)
+    assert join.linked_documents(odd_documents.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_columns_and_rows_without_id(documents_of):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = documents_of([(5, text), (3, text + " z"), (9, "other words"), (None, text), (7, None)])
+    kept = join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
