@@ -16,7 +16,7 @@ from tallyscope.schemas import (
     TRANSACTIONS,
 )
 from tallyscope.sources import tables
-from tallyscope.sources.csv_files import read_csv
+from tallyscope.sources.csv_files import read_csv, source_files
 
 TXN_HEADER = ["customer_id", "date", "amount", "category", "type", "merchant_category",
               "recurring_group_id"]
@@ -54,6 +54,9 @@ def checked(spark, write, rows):
         ({"date": "2024-1"}, 1),
         ({"date": "2024-02-30"}, 1),
         ({"date": ""}, 1),
+        ({"date": "2024-01-05T00:00:00"}, 0),
+        ({"date": "2024-01-05 00:00:00.000Z"}, 0),
+        ({"date": "2024-01-05T10:00:00"}, 1),
         ({"amount": "abc"}, 1),
         ({"amount": "5d"}, 1),
         ({"amount": "1e3"}, 0),
@@ -191,3 +194,21 @@ def test_load_prunes_stored_months(spark, write, tmp_path):
     unseen = ingest.first_wins(new, ["month_idx", "transaction_id"], stored)
     assert "dynamicpruning" in unseen._jdf.queryExecution().toString()
     assert unseen.count() == 1
+
+
+def test_each_file_is_read_by_its_own_header(spark, write, tmp_path):
+    write("a.csv", TXN_HEADER, [txn(), txn(amount="1")])
+    order = [6, 5, 0, 4, 3, 2, 1]
+    write("b.csv", [TXN_HEADER[i] for i in order], [[txn(merchant_category="rent")[i] for i in order]])
+    write("c.csv", TXN_HEADER[:4], [txn(amount="7")[:4]])
+    write("d.csv", TXN_HEADER, [])
+    raw = read_csv(spark, str(tmp_path), TRANSACTIONS)
+    rows = {(r.amount, r.merchant_category, r.type, r.date, r.customer_id) for r in raw.collect()}
+    assert rows == {("100.50", "dining", "debit", "2024-01-05", "c1"),
+                    ("1", "dining", "debit", "2024-01-05", "c1"),
+                    ("100.50", "rent", "debit", "2024-01-05", "c1"),
+                    ("7", None, None, "2024-01-05", "c1")}
+    log = ingest.ingestion_log(
+        ingest.check_transactions(raw), files=source_files(spark, str(tmp_path))).collect()
+    counts = {r.filename.rpartition("/")[2]: (r.row_count, r.rows_accepted, r.rows_rejected) for r in log}
+    assert counts == {"a.csv": (2, 2, 0), "b.csv": (1, 1, 0), "c.csv": (1, 0, 1), "d.csv": (0, 0, 0)}

@@ -43,6 +43,17 @@ def test_failure_texts_in_rule_order(spark):
     ]
 
 
+@pytest.mark.parametrize("unknown", [None, float("nan")])
+def test_unknown_values_fail_their_rule(spark, unknown):
+    row = gated(spark, unknown, 24, 0.9)
+    assert (row["gate_result"], row["rules_failed"]) == ("fail", ["DTI is unknown"])
+    row = gated(spark, 0.3, 24, unknown)
+    assert (row["gate_result"], row["rules_failed"]) == ("manual_review", ["Model confidence is unknown"])
+    row = gated(spark, unknown, None, unknown)
+    assert row["gate_result"] == "fail" and len(row["rules_failed"]) == 3
+    assert gated(spark, 0.3, None, 0.9)["rules_failed"] == ["Account vintage is unknown"]
+
+
 def test_product_limits_with_defaults_for_missing_ones(spark):
     limits = [("home_loan", 0.9, None, 0.05), ("auto_loan", 0.1, 1, 0.1)]
     row = gated(spark, 0.8, 6, 0.1, limits)
