@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.isolation import grow, score as anomaly_score
+from tallyscope.functions.isolation import SUBSAMPLE, TREES, grow, score as anomaly_score
 from tallyscope.functions.columns import in_series, is_debit
 from tallyscope.operators.quantile import exact_quantile
 from tallyscope.schemas import BILLS
@@ -21,8 +21,10 @@ MIN_DRIFT = 3.0
 MIN_SCORE = 0.4
 OUTLIER_SHARE = 0.3
 SEED = 42
-GROUP_ROWS = 10_000
-CHUNK_GROUPS = 5
+#: Model parameters: a forest's trees times the subsample of each.
+FOREST_ROWS = TREES * SUBSAMPLE
+#: Rows that are scored together; no score depends on it.
+CHUNK_ROWS = 50_000
 SERIES = ["customer_id", "recurring_group_id"]
 
 
@@ -84,22 +86,8 @@ def _points(frame: pd.DataFrame) -> np.ndarray:
     return frame[["day", "amount"]].to_numpy(dtype=float)
 
 
-def _score_whole(frame: pd.DataFrame) -> pd.DataFrame:
-    """Forest, scores and offset of one series that fits in a group."""
-    frame = frame.sort_values(["date", "amount"], kind="stable")
-    points = _points(frame)
-    scores = anomaly_score(grow(points, SEED), points)
-    offset = np.quantile(scores, OUTLIER_SHARE)
-    return pd.DataFrame({
-        "customer_id": [frame["customer_id"].iloc[0]],
-        "recurring_group_id": [frame["recurring_group_id"].iloc[0]],
-        "worst": [float(scores[len(scores) // 2:].min())],
-        "offset": [float(offset)],
-    })
-
-
 def _grow_packed(frame: pd.DataFrame) -> pd.DataFrame:
-    forest = grow(_points(frame.sort_values(["draw", "copy"], kind="stable")), SEED)
+    forest = grow(_points(frame.sort_values(["draw", "date", "amount", "copy"])), SEED)
     buffer = io.BytesIO()
     np.savez_compressed(buffer, **forest)
     return pd.DataFrame({
@@ -110,49 +98,64 @@ def _grow_packed(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _score_chunk(rows: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
+    columns = ["customer_id", "recurring_group_id", "date", "amount", "n"]
     if rows.empty or forests.empty:
-        return pd.DataFrame({"customer_id": [], "recurring_group_id": [], "date": [],
-                             "amount": [], "n": [], "score": []})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*columns, "score"]})
     forest = dict(np.load(io.BytesIO(forests["forest"].iloc[0])))
-    return rows[["customer_id", "recurring_group_id", "date", "amount", "n"]].assign(
-        score=anomaly_score(forest, _points(rows))
-    )
+    return rows[columns].assign(score=anomaly_score(forest, _points(rows)))
 
 
-def _long_series(rows: DataFrame, series: DataFrame, group_rows: int) -> DataFrame:
-    """Offset and worst later score of series too long for one group.
+def _forests(cells: DataFrame) -> DataFrame:
+    """A packed forest per series, grown from its ``FOREST_ROWS`` rows of lowest hash.
 
-    Trees only ever see small subsamples, so the forest grows from about ``group_rows`` rows
-    drawn by hash. Scoring covers every row: identical (date, amount) rows are counted once,
-    then dealt into chunks that each meet the packed forest in their own group. The offset is
-    the exact quantile of all scores.
+    Each tree draws its subsample from these rows, all the trees together can't see more. Spark
+    applies the rank filter before the shuffle too, so a series of any length sends this many
+    rows per task at most.
     """
-    cells = cut(
-        rows.groupBy(*SERIES, "date", "day", "amount", "payments").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    )
-    draw = F.xxhash64("date", "amount")
-    unit = F.shiftrightunsigned(draw, 11) / F.lit(float(2**53))
-    copies = F.floor(F.col("n") * F.lit(float(group_rows)) / F.col("payments") + unit)
-    forests = (
-        cells.withColumn("copies", copies.cast("int"))
-        .where(F.col("copies") > 0)
-        .select(*SERIES, "day", "amount", draw.alias("draw"),
-                F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    copies = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(FOREST_ROWS)).cast("int"))
+    rows = cells.select(*SERIES, "date", "day", "amount", F.explode(copies).alias("copy")).withColumn(
+        "draw", F.xxhash64(*SERIES, "date", "amount", "copy"))
+    lowest = Window.partitionBy(*SERIES).orderBy("draw", "date", "amount", "copy")
+    return (
+        rows.withColumn("_rank", F.row_number().over(lowest))
+        .where(F.col("_rank") <= FOREST_ROWS).drop("_rank")
         .groupBy(*SERIES)
         .applyInPandas(_grow_packed,
                        "customer_id string, recurring_group_id string, forest binary")
     )
-    chunks = F.ceil(F.col("payments") / (CHUNK_GROUPS * group_rows)).cast("int")
-    dealt = cells.withColumn("chunk", F.pmod(draw, chunks).cast("int"))
-    per_chunk = series.select(
+
+
+def series_scores(
+    txns: DataFrame, drift: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Isolation score in [0, 1] for every drifting series, long or short.
+
+    ``drift`` is the written result of ``series_drift``, one small row per series: it decides
+    which rows are read again. Identical (date, amount) rows are counted once, then dealt into
+    chunks of about ``chunk_rows`` rows that each meet their series' forest; a row's score depends
+    on the forest alone, so chunks of any size give the same scores. The offset is the exact
+    quantile of all scores.
+    """
+    drift = cut(series_drift(txns)) if drift is None else drift
+    drifting = drift.where(F.col("drift") > MIN_DRIFT).drop("drift")
+    points = bills(txns).select(*SERIES, "date", F.dayofmonth("date").alias("day"),
+                                F.col("amount").cast("double").alias("amount"))
+    # forests cost far more time than bytes, so small groups must not be merged into one task
+    parallel = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cut(
+        points.join(drifting, SERIES)
+        .groupBy(*SERIES, "date", "day", "amount", "payments").agg(F.count(F.lit(1)).alias("n"))
+    )
+    chunks = F.ceil(F.col("payments") / chunk_rows).cast("int")
+    dealt = cells.withColumn("chunk", F.pmod(F.xxhash64("date", "amount"), chunks).cast("int"))
+    per_chunk = drifting.select(
         *SERIES, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
-    ).join(forests, SERIES)
+    ).join(_forests(cells), SERIES)
     per_chunk = per_chunk.toDF(*per_chunk.columns)
+    keys = [*SERIES, "chunk"]
     scored = cut(
-        dealt.groupBy(*SERIES, "chunk")
-        .cogroup(per_chunk.groupBy(*SERIES, "chunk"))
+        dealt.repartition(parallel, *keys).groupBy(*keys)
+        .cogroup(per_chunk.repartition(parallel, *keys).groupBy(*keys))
         .applyInPandas(_score_chunk, "customer_id string, recurring_group_id string, "
                                      "date date, amount double, n bigint, score double")
     )
@@ -181,46 +184,17 @@ def _long_series(rows: DataFrame, series: DataFrame, group_rows: int) -> DataFra
         .agg(F.min("score").alias("worst"))
     )
     offsets = exact_quantile(scored, SERIES, "score", OUTLIER_SHARE, 1e-4, "offset", weight="n")
-    return later.join(offsets, SERIES).select(*SERIES, "worst", "offset")
-
-
-def series_scores(
-    txns: DataFrame, drift: DataFrame | None = None, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Isolation score in [0, 1] for every drifting series.
-
-    ``drift`` is the written result of ``series_drift``, one small row per series: it decides
-    which rows are read again, and whether any series is too long for the one-group path.
-    """
-    drift = cut(series_drift(txns)) if drift is None else drift
-    drifting = drift.where(F.col("drift") > MIN_DRIFT).drop("drift")
-    fits = F.col("payments") <= group_rows
-    points = bills(txns).select(*SERIES, "date", F.dayofmonth("date").alias("day"),
-                                F.col("amount").cast("double").alias("amount"))
-    # forests cost far more time than bytes, so small groups must not be merged into one task
-    parallel = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = (
-        points.join(drifting.where(fits), SERIES)
-        .repartition(parallel, *SERIES)
-        .groupBy(*SERIES)
-        .applyInPandas(_score_whole, "customer_id string, recurring_group_id string, "
-                                     "worst double, offset double")
-    )
-    long_series = drifting.where(~fits)
-    if not long_series.isEmpty():
-        rows = points.join(long_series, SERIES)
-        scored = scored.unionByName(_long_series(rows, long_series, group_rows))
     score = F.lit(0.5) - (F.col("worst") - F.col("offset"))
-    return scored.select(
+    return later.join(offsets, SERIES).select(
         *SERIES, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score")
     )
 
 
-def bill_scores(txns: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def bill_scores(txns: DataFrame) -> DataFrame:
     """Per customer with bills: their number and the highest score above the flag limit."""
     drift = cut(series_drift(txns))
     counts = drift.groupBy("customer_id").agg(F.sum("payments").alias("bills"))
-    best = series_scores(txns, drift, group_rows).groupBy("customer_id").agg(
+    best = series_scores(txns, drift).groupBy("customer_id").agg(
         F.max(F.when(F.col("score") > MIN_SCORE, F.col("score"))).alias("bill_score")
     )
     return counts.join(best, "customer_id", "left")
@@ -237,10 +211,10 @@ def bill_shift_columns() -> dict[str, Column]:
     }
 
 
-def bill_shift(txns: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def bill_shift(txns: DataFrame) -> DataFrame:
     columns = [value.alias(name) for name, value in bill_shift_columns().items()]
     return (
         txns.select("customer_id").distinct()
-        .join(bill_scores(txns, group_rows), "customer_id", "left")
+        .join(bill_scores(txns), "customer_id", "left")
         .select("customer_id", *columns)
     )

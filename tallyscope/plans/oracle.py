@@ -7,6 +7,10 @@ reinvestment check is a correlated ``NOT EXISTS``.
 
 from __future__ import annotations
 
+import re
+
+from tallyscope.schemas import FEATURE_LABELS, RATIO_FEATURES
+
 TXNS = """
 txns AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderdate AS DATE) AS date,
@@ -295,7 +299,7 @@ CASH_NAMES = ["avg_monthly_income", "avg_monthly_outflow", "savings_ratio_6m",
 DEBT_NAMES = ["emi_punctuality_score", "current_dti", "debt_trend_direction", "num_active_emis"]
 SUB_NAMES = ["subscription_cleansing_flag", "subscription_cleansing_score"]
 POOL_NAMES = ["liquidity_pooling_flag", "liquidity_pooling_score"]
-PLAIN_NAMES = INCOME_NAMES + CASH_NAMES
+ALL_NAMES = INCOME_NAMES + CASH_NAMES + DEBT_NAMES + SUB_NAMES + POOL_NAMES
 
 
 def unpivoted(table: str, names: list[str], day: str, complete: str = "completeness") -> str:
@@ -312,18 +316,34 @@ def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(c.strip() for c in ctes) + " "
 
 
+def early(sql: str) -> str:
+    """The same common table expressions over the early transactions, as ``e_`` tables."""
+    tables = re.findall(r"(\w+) AS \(\s*SELECT", ", ".join([cash(), pay(), DEBT, SUBS, POOL]))
+    for name in sorted(set(tables), key=len, reverse=True):
+        sql = re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2e_{name}", sql)
+        sql = re.sub(rf"\b{name}( AS \(|\.)", rf"e_{name}\1", sql)
+    return re.sub(r"\b(FROM|JOIN)(\s+)txns\b", r"\1\2early", sql)
+
+
 EARLY_TXNS = "early AS (SELECT * FROM txns WHERE date < DATE '1999-01-01')"
 HISTORY = ", ".join([
-    TXNS, EARLY_TXNS, cash(), pay(), cash("early", "e_"), pay("early", "e_"),
+    TXNS, EARLY_TXNS, cash(), pay(), DEBT, SUBS, POOL,
+    cash("early", "e_"), pay("early", "e_"), early(DEBT), early(SUBS), early(POOL),
     "history AS (" + " UNION ALL ".join([
         unpivoted("e_pay", INCOME_NAMES, "1999-01-01"),
         unpivoted("e_cash", CASH_NAMES, "1999-01-01"),
+        unpivoted("e_debt", DEBT_NAMES, "1999-01-01"),
+        unpivoted("e_subs", SUB_NAMES, "1999-01-01", "1.0"),
+        unpivoted("e_pool", POOL_NAMES, "1999-01-01", "1.0"),
         unpivoted("pay", INCOME_NAMES, "2002-01-01"),
         unpivoted("cash", CASH_NAMES, "2002-01-01"),
+        unpivoted("debt", DEBT_NAMES, "2002-01-01"),
+        unpivoted("subs", SUB_NAMES, "2002-01-01", "1.0"),
+        unpivoted("pool", POOL_NAMES, "2002-01-01", "1.0"),
     ]) + ")",
     "vectors AS (SELECT customer_id, " + ", ".join(
         f"arg_max(feature_value, computed_at) FILTER (WHERE feature_name = '{n}') AS {n}"
-        for n in PLAIN_NAMES
+        for n in ALL_NAMES
     ) + " FROM history GROUP BY customer_id)",
 ])
 SCORED = """scored AS (
@@ -484,7 +504,7 @@ FROM history WHERE computed_at <= '2000-01-01' GROUP BY ALL""",
     "feature_warnings": "WITH " + HISTORY + """
 SELECT customer_id, feature_name, feature_value FROM history
 WHERE computed_at = '2002-01-01' AND NOT feature_value BETWEEN 0.0 AND 1.5
-  AND feature_name IN ('savings_ratio_6m', 'salary_variance_12m', 'expense_volatility')""",
+  AND feature_name IN (""" + ", ".join(f"'{n}'" for n in RATIO_FEATURES) + ")",
     "features_rerun": "WITH " + HISTORY
     + " SELECT feature_name, computed_at, count(*) AS n FROM history GROUP BY ALL",
     "eligibility_gate": "WITH " + GATED + """
@@ -500,16 +520,77 @@ SELECT customer_id, dti, account_vintage_months, confidence, gate_result,
               THEN 'Model confidence ' || CAST(CAST(confidence AS DECIMAL(18,4)) AS VARCHAR)
                    || ' below 0.30 minimum' END) AS rules_failed
 FROM gated""",
+    "gate_by_product": "WITH " + GATED + """, limits AS (
+  SELECT 'loan_' || CAST(r_regionkey AS VARCHAR) AS product,
+         r_regionkey * CAST(0.2 AS DOUBLE) AS max_dti,
+         CASE WHEN r_regionkey <> 2 THEN r_regionkey * 10 + 1 END AS min_vintage_months,
+         r_regionkey * CAST(0.25 AS DOUBLE) AS min_confidence
+  FROM region WHERE r_regionkey < 4
+), cases AS (
+  SELECT customer_id, 'loan_' || CAST(k % 5 AS VARCHAR) AS product,
+         CASE WHEN k % 7 <> 0 THEN dti END AS dti,
+         CASE WHEN k % 11 <> 0 THEN confidence END AS confidence,
+         CASE WHEN k % 13 <> 0 THEN account_vintage_months END AS vintage
+  FROM (SELECT *, CAST(customer_id AS BIGINT) AS k FROM gated)
+), ruled AS (
+  SELECT customer_id, product, dti, vintage, confidence, coalesce(max_dti, 0.5) AS a,
+         coalesce(min_vintage_months, 6) AS b, coalesce(min_confidence, 0.3) AS c
+  FROM cases LEFT JOIN limits USING (product)
+), failed AS (
+  SELECT *, NOT coalesce(dti <= a, false) AS x, NOT coalesce(vintage >= b, false) AS y,
+         NOT coalesce(confidence >= c, false) AS z FROM ruled
+)
+SELECT customer_id, product,
+       CASE WHEN x THEN 'fail' WHEN y OR z THEN 'manual_review' ELSE 'pass' END AS gate_result,
+       'dti_below_' || CAST(a AS VARCHAR) || '; vintage_above_' || CAST(b AS VARCHAR)
+         || 'm; confidence_above_' || CAST(c AS VARCHAR) AS rules_checked,
+       CAST(x AS INTEGER) + CAST(y AS INTEGER) + CAST(z AS INTEGER) AS failures,
+       concat_ws('; ', CASE WHEN dti IS NULL THEN 'DTI is unknown' END,
+                 CASE WHEN vintage IS NULL THEN 'Account vintage is unknown' END,
+                 CASE WHEN confidence IS NULL THEN 'Model confidence is unknown' END) AS unknown
+FROM failed""",
+    "confidence_of_intervals": """
+SELECT CAST(o_orderkey AS VARCHAR) AS customer_id,
+       CASE WHEN q50 <> 0 THEN round(greatest(0.0, least(1.0, 1 - abs((q90 - q10) / q50))), 4)
+            ELSE 0.0 END AS capacity_confidence
+FROM (SELECT o_orderkey, q50, q50 - w * 700 AS q10, q50 + w * 900 AS q90
+      FROM (SELECT o_orderkey, o_totalprice - CAST(100000 AS DOUBLE) AS q50,
+                   CAST(o_custkey % 100 AS DOUBLE) AS w FROM orders))""",
+    "scores_of_probabilities": """
+SELECT CAST(o_orderkey AS VARCHAR) AS customer_id, round(p * 100, 2) AS intent_score,
+       round(abs(p - 0.5) * 2, 4) AS intent_confidence
+FROM (SELECT o_orderkey, (o_orderkey % 1000) / CAST(999 AS DOUBLE) AS p FROM orders)""",
+    "reasons_of_contributions": """
+WITH parts AS (
+  SELECT r, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS customer_id, unnest([
+    {'i': 0, 'n': 'current_dti', 'v': l_discount - CAST(0.05 AS DOUBLE)},
+    {'i': 1, 'n': 'avg_monthly_income', 'v': l_tax - CAST(0.04 AS DOUBLE)},
+    {'i': 2, 'n': 'liquidity_buffer', 'v': l_quantity / CAST(100 AS DOUBLE)},
+    {'i': 3, 'n': 'num_active_emis', 'v': CAST(0 AS DOUBLE)},
+    {'i': 4, 'n': 'savings_ratio_6m', 'v': -round(l_extendedprice) / CAST(100000 AS DOUBLE)},
+    {'i': 5, 'n': 'expense_volatility', 'v': (l_partkey % 3) - CAST(1 AS DOUBLE)},
+    {'i': 6, 'n': 'some_other_feature', 'v': (l_suppkey % 7) / CAST(10 AS DOUBLE)}]) AS f
+  FROM (SELECT *, row_number() OVER () AS r FROM lineitem)
+)
+SELECT customer_id, f.n AS feature_name, CASE WHEN f.v > 0 THEN '↑' ELSE '↓' END AS direction,
+       CASE f.n """ + " ".join(
+        f"WHEN '{n}' THEN '{FEATURE_LABELS[n]}'" for n in [
+            "current_dti", "avg_monthly_income", "liquidity_buffer", "num_active_emis",
+            "savings_ratio_6m", "expense_volatility"]
+    ) + """ ELSE 'Some Other Feature' END AS human_label, round(f.v, 6) AS shap_value
+FROM parts WHERE abs(f.v) >= 1e-8
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY abs(f.v) DESC, f.i) <= 5""",
     "trivial_score": with_(TXNS, cash()) + """
 SELECT customer_id, 'home_loan' AS product,
        round(avg_monthly_income - avg_monthly_outflow, 2) AS estimated_income,
        CAST(0.5 AS DOUBLE) AS confidence, CAST(50.0 AS DOUBLE) AS intent_score FROM cash""",
-    "lead_ranking": "WITH " + GATED + LEADS + " ORDER BY intent_score DESC, customer_id",
+    "lead_ranking": "WITH " + GATED + "SELECT *, row_number() OVER (ORDER BY intent_score DESC, "
+    "customer_id) AS lead_rank FROM (" + LEADS + ") ORDER BY lead_rank",
     "customers_list": """
 SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name FROM customer
 ORDER BY customer_id""",
     "feature_hash": "WITH " + HISTORY + ", " + HASHES + "SELECT * FROM hashes",
-    "score_audit": "WITH " + ", ".join([HISTORY, DEBT, SCORED, HASHES]) + """
+    "score_audit": "WITH " + ", ".join([HISTORY, SCORED, HASHES]) + """
 SELECT customer_id, product, '0.1.0' AS capacity_model_version,
        '0.1.0' AS intent_model_version, gate_result, 'rm' AS requesting_role, input_feature_hash
 FROM gated JOIN hashes USING (customer_id)""",
@@ -541,11 +622,11 @@ SELECT s_name AS product, coalesce(max_dti, 0.5) AS max_dti,
        coalesce(min_confidence, 0.3) AS min_confidence
 FROM supplier LEFT JOIN valid ON s_name = product""",
     "training_matrix": "WITH " + HISTORY + "SELECT v.customer_id, " + ", ".join(
-        f"coalesce({n}, 0.0) AS {n}" for n in PLAIN_NAMES
+        f"coalesce({n}, 0.0) AS {n}" for n in ALL_NAMES
     ) + """, CAST(quality = 1 AS DOUBLE) AS label
 FROM vectors v JOIN labels ON v.customer_id = CAST(doc_id AS VARCHAR)""",
     "capacity_matrix": "WITH " + HISTORY + "SELECT customer_id, " + ", ".join(
-        f"coalesce({n}, 0.0) AS {n}" for n in PLAIN_NAMES
+        f"coalesce({n}, 0.0) AS {n}" for n in ALL_NAMES
         if n not in ("salary_amount_median", "avg_monthly_outflow")
     ) + """, CASE WHEN salary_amount_median > 0
               THEN salary_amount_median - coalesce(avg_monthly_outflow, 0.0)

@@ -27,6 +27,7 @@ from tallyscope.operators import (
     subscription,
     thresholds,
 )
+from tallyscope.schemas import MODEL_VERSION, THRESHOLDS
 from tallyscope.session import cut, scratch_path
 from tallyscope.sources import testtables as tt
 
@@ -227,7 +228,6 @@ def groups(*names: str) -> dict[str, store.FeatureGroup]:
 
 
 EXACT = ["income", "cashflow", "debt", "subscription_cleansing", "liquidity_pooling"]
-PLAIN = ["income", "cashflow"]
 
 
 @query
@@ -249,9 +249,9 @@ def feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features as two runs would have left them: one at the start of 1999, one at the end."""
     txns = tt.transactions(spark, sf_dir)
     early = store.features_long(
-        txns.where(F.col("date") < F.lit(EARLY)), EARLY, groups(*PLAIN)
+        txns.where(F.col("date") < F.lit(EARLY)), EARLY, groups(*EXACT)
     )
-    return early.unionByName(store.features_long(txns, LATE, groups(*PLAIN)))
+    return early.unionByName(store.features_long(txns, LATE, groups(*EXACT)))
 
 
 @query
@@ -261,7 +261,7 @@ def features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [n for g in PLAIN for n in store.feature_groups()[g][1]()]
+    names = [n for g in EXACT for n in store.feature_groups()[g][1]()]
     return store.feature_vectors(feature_history(spark, sf_dir), names=names)
 
 
@@ -270,7 +270,7 @@ QUERIES["feature_vectors"] = latest_vectors
 
 @query
 def feature_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.features_long(tt.transactions(spark, sf_dir), LATE, groups(*PLAIN))
+    rows = store.features_long(tt.transactions(spark, sf_dir), LATE, groups(*EXACT))
     return store.feature_warnings(rows)
 
 
@@ -278,7 +278,7 @@ def feature_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merging a day's run into a table that already holds it adds no rows."""
     history = feature_history(spark, sf_dir)
-    again = store.features_long(tt.transactions(spark, sf_dir), LATE, groups(*PLAIN))
+    again = store.features_long(tt.transactions(spark, sf_dir), LATE, groups(*EXACT))
     return (
         store.merge_features(history, again)
         .groupBy("feature_name", "computed_at")
@@ -331,6 +331,33 @@ def eligibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def gate_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers gated by the limits of the product they are scored for; one product has no
+    limits of its own, and some customers lack a value."""
+    region = tt.table(spark, sf_dir, "region")
+    limits = region.where("r_regionkey < 4").select(
+        F.concat(F.lit("loan_"), F.col("r_regionkey").cast("string")).alias("product"),
+        (F.col("r_regionkey") * 0.2).alias("max_dti"),
+        F.when(F.col("r_regionkey") != 2, F.col("r_regionkey") * 10 + 1).cast("int").alias(
+            "min_vintage_months"),
+        (F.col("r_regionkey") * 0.25).alias("min_confidence"),
+    )
+    number = F.col("customer_id").cast("long")
+    scored = stand_in_customers(spark, sf_dir).withColumns({
+        "product": F.concat(F.lit("loan_"), (number % 5).cast("string")),
+        "dti": F.when(number % 7 != 0, F.col("dti")),
+        "confidence": F.when(number % 11 != 0, F.col("confidence")),
+        "account_vintage_months": F.when(number % 13 != 0, F.col("account_vintage_months")),
+    })
+    return gate.check_eligibility(scored, limits).select(
+        "customer_id", "product", "gate_result",
+        F.array_join("rules_checked", "; ").alias("rules_checked"),
+        F.size("rules_failed").alias("failures"),
+        F.array_join(F.filter("rules_failed", lambda r: r.endswith("unknown")), "; ").alias("unknown"),
+    )
+
+
 @query
 def trivial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.trivial_score(cashflow.cashflow_features(tt.transactions(spark, sf_dir)))
@@ -338,7 +365,8 @@ def trivial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lead_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leads.rank_leads(stand_in_customers(spark, sf_dir), PRODUCT, min_score=20.0)
+    listed = leads.rank_leads(stand_in_customers(spark, sf_dir), PRODUCT, min_score=20.0)
+    return leads.with_rank(listed)
 
 
 @query
@@ -477,39 +505,149 @@ def metric_precision_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = store.features_wide(tt.transactions(spark, sf_dir), groups(*EXACT))
-    return cut(wide.drop(*[c for c in wide.columns if c.startswith("_completeness")]))
+    """All 20 features of all customers."""
+    wide = store.features_wide(tt.transactions(spark, sf_dir), store.feature_groups(INCOME_CV))
+    return wide.drop(*[c for c in wide.columns if c.startswith("_completeness")])
+
+
+# models and vectors of one session and table folder, by application, folder and model
+_TRAINED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> str:
+    """The path of something that the session has made once for these tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TRAINED:
+        path = scratch_path(spark, name)
+        make(path)
+        _TRAINED[key] = path
+    return _TRAINED[key]
 
 
-def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = model_vectors(spark, sf_dir)
-    path = scratch_path(spark, "capacity")
-    capacity.train_capacity(vectors, path)
-    return capacity.load_capacity(spark, path).predict(vectors)
+def trained_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _once(spark, sf_dir, "vectors",
+                 lambda p: model_vectors(spark, sf_dir).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+def capacity_model(spark: SparkSession, sf_dir: str) -> capacity.CapacityModel:
+    path = _once(spark, sf_dir, "capacity",
+                 lambda p: capacity.train_capacity(trained_vectors(spark, sf_dir), p))
+    return capacity.load_capacity(spark, path)
+
+
+def intent_path(spark: SparkSession, sf_dir: str) -> str:
+    return _once(spark, sf_dir, "intent", lambda p: intent.train_intent(
+        trained_vectors(spark, sf_dir), tt.labels(spark, sf_dir), PRODUCT, p))
 
 
 @query
 def capacity_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _capacity(spark, sf_dir).select("customer_id", "q10", "q50", "q90")
+    scored = capacity_model(spark, sf_dir).predict(trained_vectors(spark, sf_dir))
+    return scored.select("customer_id", "q10", "q50", "q90")
 
 
 @query
 def capacity_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _capacity(spark, sf_dir).select("customer_id", "capacity_confidence")
+    scored = capacity_model(spark, sf_dir).predict(trained_vectors(spark, sf_dir))
+    return scored.select("customer_id", "capacity_confidence")
 
 
 @query
 def intent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = model_vectors(spark, sf_dir)
-    path = scratch_path(spark, "intent")
-    intent.train_intent(vectors, tt.labels(spark, sf_dir), PRODUCT, path)
-    return intent.load_intent(spark, path).predict(vectors)
+    model = intent.load_intent(spark, intent_path(spark, sf_dir))
+    return model.predict(trained_vectors(spark, sf_dir))
 
 
 @query
 def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = model_vectors(spark, sf_dir)
-    path = scratch_path(spark, "reasons")
-    names, base = intent.train_base(vectors, tt.labels(spark, sf_dir), PRODUCT, path)
-    codes = explain.explain(spark, vectors, names, f"{path}/base", base)
+    path = intent_path(spark, sf_dir)
+    model = intent.load_intent(spark, path)
+    codes = explain.explain(
+        spark, trained_vectors(spark, sf_dir), model.names, f"{path}/base", model.base)
     return codes.select("customer_id", F.inline("reason_codes"))
+
+
+def model_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers scored by the trained models and gated."""
+    vectors = trained_vectors(spark, sf_dir)
+    scored = leads.scored_customers(
+        tt.customers(spark, sf_dir).select("customer_id", "name"), vectors,
+        capacity_model(spark, sf_dir).predict(vectors),
+        intent.load_intent(spark, intent_path(spark, sf_dir)).predict(vectors), PRODUCT,
+    )
+    # labels of the supplied tables have no relation to the features: wide limits leave a list
+    limits = spark.createDataFrame([(PRODUCT, 1.0, 1, 0.0)], THRESHOLDS)
+    return gate.check_eligibility(scored, limits)
+
+
+def listed_by_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(leads.list_leads(model_scored(spark, sf_dir)))
+
+
+@query
+def model_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained models, gate, ranked leads."""
+    return leads.with_rank(listed_by_models(spark, sf_dir))
+
+
+@query
+def model_lead_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit row of that list, and one of every customer scored for it."""
+    batch = audit.lead_audit_row(listed_by_models(spark, sf_dir), PRODUCT, 0.0, "rm")
+    hashes = audit.feature_hashes(trained_vectors(spark, sf_dir))
+    rows = audit.score_audit_rows(model_scored(spark, sf_dir), hashes, "rm")
+    return batch.unionByName(rows).drop("created_at")
+
+
+@query
+def model_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested score record of every customer, as JSON text."""
+    path = intent_path(spark, sf_dir)
+    model = intent.load_intent(spark, path)
+    reasons = explain.explain(
+        spark, trained_vectors(spark, sf_dir), model.names, f"{path}/base", model.base)
+    records = leads.score_envelope(model_scored(spark, sf_dir), reasons, MODEL_VERSION)
+    return records.select("customer_id", F.to_json(F.struct(*records.columns)).alias("record"))
+
+
+# --- the deterministic ends of the models, over given numbers ------------------------------
+
+
+def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as customers with a middle value and a probability."""
+    return tt.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("customer_id"),
+        (F.col("o_totalprice") - 100000.0).alias("q50"),
+        ((F.col("o_orderkey") % 1000) / 999.0).alias("probability"),
+        (F.col("o_custkey") % 100).cast("double").alias("width"),
+    )
+
+
+@query
+def confidence_of_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_numbers(spark, sf_dir).withColumns({
+        "q10": F.col("q50") - F.col("width") * 700, "q90": F.col("q50") + F.col("width") * 900})
+    return rows.select("customer_id",
+                       capacity.interval_confidence().alias("capacity_confidence"))
+
+
+@query
+def scores_of_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.scores_of(order_numbers(spark, sf_dir))
+
+
+@query
+def reasons_of_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top reasons of line items whose numbers stand for contributions."""
+    names = ["current_dti", "avg_monthly_income", "liquidity_buffer", "num_active_emis",
+             "savings_ratio_6m", "expense_volatility", "some_other_feature"]
+    lines = tt.table(spark, sf_dir, "lineitem")
+    shap = lines.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string")).alias("customer_id"),
+        F.array(F.col("l_discount") - 0.05, F.col("l_tax") - 0.04, F.col("l_quantity") / 100.0,
+                F.lit(0.0), -F.round("l_extendedprice") / 100000.0, (F.col("l_partkey") % 3) - 1.0,
+                (F.col("l_suppkey") % 7) / 10.0).alias("shap"),
+    )
+    return explain.reason_codes(shap, names).select("customer_id", F.inline("reason_codes"))

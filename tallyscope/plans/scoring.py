@@ -55,19 +55,24 @@ def gated_customers(
 
 def run_leads(
     spark: SparkSession, root: str, product: str = "home_loan", min_score: float = 0.0,
-    role: str = "rm",
+    role: str = "rm", audit_scores: bool = False,
 ) -> DataFrame:
-    """Score everyone once, store the ranked leads, and audit every score and the list."""
+    """Score everyone once, store the ranked leads, and audit the list.
+
+    ``audit_scores`` also logs a row per scored customer; it is off, so that refreshing a list
+    doesn't flood the log.
+    """
     gated, vectors = gated_customers(spark, root, product)
     table = f"leads_{product}"
     tables.write_snapshot(leads.list_leads(gated, min_score), root, table, LEADS)
     stored = read_leads(spark, root, product)
-    versions = [
-        artifacts.load_manifest(spark, f"{root}/models/{name}")["model_version"]
-        for name in ("capacity", f"intent_{product}")
-    ]
-    rows = audit.score_audit_rows(gated, audit.feature_hashes(vectors), role, *versions)
-    tables.append(rows, root, "audit_log", AUDIT_LOG)
+    if audit_scores:
+        versions = [
+            artifacts.load_manifest(spark, f"{root}/models/{name}")["model_version"]
+            for name in ("capacity", f"intent_{product}")
+        ]
+        rows = audit.score_audit_rows(gated, audit.feature_hashes(vectors), role, *versions)
+        tables.append(rows, root, "audit_log", AUDIT_LOG)
     batch = audit.lead_audit_row(stored, product, min_score, role)
     tables.append(batch, root, "audit_log", AUDIT_LOG)
     return stored
@@ -109,9 +114,10 @@ def update_thresholds(
         raise ValueError("an update names a product without thresholds")
     if thresholds.valid_updates(updates).count() != updates.count():
         raise ValueError("an update is outside its range")
-    changes = thresholds.threshold_changes(current, updates, role)
-    tables.append(changes, root, "config_change_log", CONFIG_CHANGE_LOG)
+    # taken before the table changes, logged after: no change is logged that did not happen
+    changes = cut(thresholds.threshold_changes(current, updates, role))
     tables.write_snapshot(
         thresholds.apply_updates(current, updates), root, "gating_thresholds", THRESHOLDS
     )
+    tables.append(changes, root, "config_change_log", CONFIG_CHANGE_LOG)
     return read_thresholds(spark, root)

@@ -155,8 +155,7 @@ DISCRETIONARY = [
 ]
 BILLS = ["utility", "rent"]
 
-# Products, and the ones that have trained models.
-PRODUCTS = ["personal_loan", "home_loan", "mortgage_loan", "auto_loan"]
+# The products that have trained models.
 SUPPORTED_PRODUCTS = ["home_loan"]
 
 # Gate thresholds used when a product or a field has none of its own.

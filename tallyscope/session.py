@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder, because only there do driver and executors share the machine.
+    temporary folder, because only there do driver and executors share the machine; it goes when
+    the driver ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tallyscope-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from tallyscope.operators import billshift, monthly, pooling, store, subscription
 
 SALARY = [70000, 71000, 69000, 72000]
@@ -226,29 +228,42 @@ def test_odd_length_halves(make_txns):
     assert billshift.series_drift(txns).first()["drift"] == 6.0
 
 
-def test_long_series_path_scores_every_row(make_txns):
-    """Series above the group limit take the distributed path; the far outlier leads in both."""
+def outlier_bills():
     rng = random.Random(3)
     days = [rng.randint(3, 6) for _ in range(60)] + [rng.randint(18, 22) for _ in range(59)] + [28]
     rows = bill_days(days)
     rows[-1] = (*rows[-1][:2], 90000, *rows[-1][3:])
-    txns = make_txns(rows)
+    return rows
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 7, 30, 10**6])
+def test_chunks_of_any_size_give_the_same_scores(make_txns, chunk_rows):
+    txns = make_txns(outlier_bills())
     whole = billshift.series_scores(txns).first()["score"]
-    split = billshift.series_scores(txns, group_rows=30).first()["score"]
-    assert 0.4 < whole <= 1.0 and 0.4 < split <= 1.0
-    assert abs(whole - split) < 0.25
+    assert 0.4 < whole <= 1.0
+    split = billshift.series_scores(txns, chunk_rows=chunk_rows).first()["score"]
+    assert split == pytest.approx(whole, abs=1e-9)
 
 
-def test_long_series_path_splits_the_middle_day(make_txns):
-    """All rows on few days: the cut falls inside a day, and both paths see the same later half."""
+def test_the_middle_day_is_split(make_txns):
+    """All rows on few days: the cut falls inside a day."""
     rows = [("c1", "2024-01-02", 10 + i, "debit", "rent", "r") for i in range(10)]
     rows += [("c1", "2024-02-20", 50 + i, "debit", "rent", "r") for i in range(30)]
     rows += [("c1", "2024-03-25", 500 + i, "debit", "rent", "r") for i in range(10)]
     txns = make_txns(rows)
     assert billshift.series_drift(txns).first()["drift"] > 3
     whole = billshift.series_scores(txns).first()["score"]
-    split = billshift.series_scores(txns, group_rows=49).first()["score"]
-    assert abs(whole - split) < 0.15
+    split = billshift.series_scores(txns, chunk_rows=9).first()["score"]
+    assert split == pytest.approx(whole, abs=1e-9)
+
+
+def test_a_series_longer_than_its_forest_sees(make_txns, monkeypatch):
+    """The sample is a part of a long series, every row is scored, and row order is no matter."""
+    monkeypatch.setattr(billshift, "FOREST_ROWS", 40)
+    rows = outlier_bills()
+    first = billshift.series_scores(make_txns(rows)).first()["score"]
+    again = billshift.series_scores(make_txns(rows[::-1]).repartition(5), chunk_rows=11).first()["score"]
+    assert again == pytest.approx(first, abs=1e-9) and 0.3 < first <= 1.0
 
 
 # --- whole tables ------------------------------------------------------------------------
