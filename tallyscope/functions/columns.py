@@ -88,3 +88,14 @@ def txn_id(customer: Column, date: Column, amount: Column, category: Column, kin
     parts = [blank(customer), blank(date), fixed(amount, 2), blank(category), blank(kind),
              blank(merchant)]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def spread_of(n: Column, total: Column, squares: Column) -> Column:
+    """``n`` times the squares less the squared total of exact decimals, as a double.
+
+    Divided by n (n - 1) it is the sample variance.
+    """
+    wide = "decimal(38,4)"
+    product = n.cast("decimal(10,0)") * squares.cast(wide)
+    narrow = total.cast("decimal(19,2)")
+    return (product.cast(wide) - (narrow * narrow).cast(wide)).cast("double")

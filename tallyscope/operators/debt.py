@@ -13,6 +13,7 @@ from tallyscope.functions.columns import (
     month_index,
     ratio,
     safe_divide,
+    spread_of,
     trend_over_mean,
 )
 from tallyscope.operators.monthly import customer_profile, tail
@@ -28,7 +29,6 @@ def recurring_series(txns: DataFrame) -> DataFrame:
     The first grouping is by (customer, series, month), so one very long series is combined
     map-side before it meets in one place; the array has one entry per calendar month.
     """
-    value = F.col("amount").cast("double")
     monthly = (
         txns.where(is_debit() & in_series())
         .groupBy("customer_id", "recurring_group_id",
@@ -36,20 +36,22 @@ def recurring_series(txns: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("payments"),
             F.sum("amount").alias("paid"),
-            F.sum(value * value).alias("squares"),
+            F.sum(F.col("amount") * F.col("amount")).alias("squares"),
             F.count_if(F.dayofmonth("date") <= ON_TIME_DAY).alias("on_time"),
         )
     )
     series = monthly.groupBy("customer_id", "recurring_group_id").agg(
         F.sum("payments").alias("payments"),
-        F.sum("paid").cast("double").alias("paid"),
+        F.sum("paid").alias("paid"),
         F.sum("squares").alias("squares"),
         F.sum("on_time").alias("on_time"),
         F.collect_list(F.struct("month_idx", "paid")).alias("months"),
     )
     n = F.col("payments")
-    mean = F.col("paid") / n
-    variance = F.try_divide(F.col("squares") - F.col("paid") * mean, (n - 1).cast("double"))
+    mean = F.col("paid").cast("double") / n
+    # exact decimals up to the difference, so that the order of partial sums can't move it
+    spread = spread_of(n, F.col("paid"), F.col("squares"))
+    variance = F.try_divide(spread, (n * (n - 1)).cast("double"))
     deviation = F.sqrt(F.greatest(variance, F.lit(0.0)))
     return series.select(
         "customer_id", "recurring_group_id", "payments", "on_time", "months",

@@ -83,9 +83,8 @@ def customer_profile(txns: DataFrame) -> DataFrame:
             F.min("first_salary").alias("first_salary"),
             *_series("credits"),
             *_series("debits"),
-            F.sum(F.col("credits").cast("double") * F.col("credits").cast("double")).alias(
-                "credits_sq"
-            ),
+            F.sum(F.col("credits").cast("decimal(19,2)") * F.col("credits").cast("decimal(19,2)")
+                  ).alias("credits_sq"),
             F.avg(salary).alias("salary_mean"),
             F.stddev_samp(salary).alias("salary_std"),
             F.count("salary").alias("salary_months"),

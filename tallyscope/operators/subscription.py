@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.columns import in_series, is_debit, ratio
+from tallyscope.functions.columns import in_series, is_debit, ratio, spread_of
 from tallyscope.operators.monthly import customer_profile
 from tallyscope.schemas import DISCRETIONARY
 
@@ -49,9 +49,9 @@ def series_ends(txns: DataFrame) -> DataFrame:
 def subscription_columns(max_income_cv: float = MAX_INCOME_CV) -> dict[str, Column]:
     """Flag and score over a profile row joined with ``series_ends``."""
     span = F.col("credits_last") - F.col("credits_first") + 1
-    total = F.col("credits_sum").cast("double")
-    mean = total / span
-    variance = F.try_divide(F.col("credits_sq") - total * mean, (span - 1).cast("double"))
+    mean = F.col("credits_sum").cast("double") / span
+    spread = spread_of(span, F.col("credits_sum"), F.col("credits_sq"))
+    variance = F.try_divide(spread, (span * (span - 1)).cast("double"))
     cv = F.when(mean > 0, F.try_divide(F.sqrt(F.greatest(variance, F.lit(0.0))), mean))
     steady = (span >= 3) & (F.coalesce(cv, F.lit(1.0)) < max_income_cv)
 

@@ -1,4 +1,7 @@
-"""Files to tables: check, split, de-duplicate, write and log. One job per file."""
+"""Files to tables: check, split, de-duplicate, write and log.
+
+Checked rows are staged first, so a file is parsed once per load.
+"""
 
 from __future__ import annotations
 
@@ -14,19 +17,11 @@ from tallyscope.schemas import (
     STORED_TRANSACTIONS,
     TRANSACTIONS,
 )
-from tallyscope.session import scratch_path
+from tallyscope.session import staged
 from tallyscope.sources import tables
 from tallyscope.sources.csv_files import read_csv, source_files
 
 
-def _staged(checked: DataFrame) -> DataFrame:
-    """The checked rows, written once to the shared folder: the files are parsed a single time
-    however often the rows are read afterwards."""
-    path = scratch_path(checked.sparkSession, "staged")
-    checked.write.parquet(path)
-    return checked.sparkSession.read.parquet(path)
-
-
 def _log(checked: DataFrame, root: str, path: str) -> None:
     files = source_files(checked.sparkSession, path)
     tables.append(op.ingestion_log(checked, files=files), root, "ingestion_log", INGESTION_LOG)
@@ -34,7 +29,7 @@ def _log(checked: DataFrame, root: str, path: str) -> None:
 
 def ingest_customers(spark: SparkSession, root: str, path: str, multiline: bool = False) -> None:
     """Last row of a customer wins, within the file and over the stored table."""
-    checked = _staged(op.check_customers(read_csv(spark, path, CUSTOMERS, multiline)))
+    checked = staged(op.check_customers(read_csv(spark, path, CUSTOMERS, multiline)))
     stored = tables.read_snapshot(spark, root, "customers", CUSTOMERS)
     merged = op.last_wins(op.accepted(checked), ["customer_id"], stored)
     tables.write_snapshot(merged, root, "customers", CUSTOMERS)
@@ -48,7 +43,7 @@ def ingest_transactions(
 
     The date is part of the content id, so an id can only be stored in its own month.
     """
-    checked = _staged(op.check_transactions(read_csv(spark, path, TRANSACTIONS, multiline)))
+    checked = staged(op.check_transactions(read_csv(spark, path, TRANSACTIONS, multiline)))
     new = op.accepted(checked).withColumn("month_idx", month_index(F.col("date")))
     stored = tables.read(spark, root, "transactions", STORED_TRANSACTIONS)
     unseen = op.first_wins(new, ["month_idx", "transaction_id"], stored)
@@ -61,7 +56,7 @@ def ingest_labels(
     multiline: bool = False,
 ) -> None:
     """Last label of a customer and product wins."""
-    checked = _staged(op.check_labels(read_csv(spark, path, LABELS, multiline), products))
+    checked = staged(op.check_labels(read_csv(spark, path, LABELS, multiline), products))
     stored = tables.read_snapshot(spark, root, "labels", LABELS)
     merged = op.last_wins(op.accepted(checked), ["customer_id", "product"], stored)
     tables.write_snapshot(merged, root, "labels", LABELS)

@@ -28,7 +28,7 @@ from tallyscope.operators import (
     thresholds,
 )
 from tallyscope.schemas import MODEL_VERSION, THRESHOLDS
-from tallyscope.session import cut, scratch_path
+from tallyscope.session import cut, scratch_path, staged
 from tallyscope.sources import testtables as tt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +100,8 @@ def ingest_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.ingestion_log(checked_transactions(spark, sf_dir)).drop("ingested_at")
+    checked = staged(checked_transactions(spark, sf_dir))
+    return ingest.ingestion_log(checked).drop("ingested_at")
 
 
 @query
@@ -113,13 +114,16 @@ def txn_hash_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file and a replay of it with other series ids, loaded over the rows before 1996."""
     raw = tt.raw_transactions(spark, sf_dir)
-    replay = raw.withColumns(
+    again = F.lit("replayed")
+    both = raw.withColumn("_again", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns(
         {
-            "recurring_group_id": F.lit("replayed"),
-            "seq": F.col("seq").withField("series", F.lit("replayed")),
+            "recurring_group_id": F.when(F.col("_again"), again).otherwise(
+                F.col("recurring_group_id")),
+            "seq": F.when(F.col("_again"), F.col("seq").withField("series", again)).otherwise(
+                F.col("seq")),
         }
-    )
-    loaded = ingest.accepted(ingest.check_transactions(raw.unionByName(replay)))
+    ).drop("_again")
+    loaded = staged(ingest.accepted(ingest.check_transactions(both)))
     stored = ingest.accepted(ingest.check_transactions(raw)).where(
         F.col("date") < F.lit(dt.date(1996, 1, 1))
     )

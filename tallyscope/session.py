@@ -57,3 +57,11 @@ def cut(df):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df, name: str = "staged"):
+    """``df`` written once to the shared folder: its sources are read a single time however often
+    the rows are read afterwards."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
