@@ -36,7 +36,9 @@ from tallyscope.llm.common import in_small_batches, pieces
 
 MARK = "▁"
 #: Segmented words remembered by a task before it starts over; bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Pairs of pieces whose separation is remembered likewise.
+PAIRS = 250_000
 #: Bytes of text that one step of a task works on; bounds memory only.
 STEP_BYTES = 2_000_000
 NEVER = float("-inf")
@@ -90,12 +92,13 @@ class Vocabulary:
                    byte_ids if model.trainer_spec.byte_fallback else None,
                    processor.unk_id(), kinds[model.trainer_spec.model_type])
 
-    def separate(self, pair: tuple[str, str]) -> bool:
-        """Whether merging the two pieces' characters gives these two pieces.
+    def separate(self, ids: tuple[int, int]) -> bool:
+        """Whether merging the characters of two pieces, given by id, gives these two pieces.
 
         Each piece's own merges are known. Run side by side, best first and the left one of
         equals, they meet only where the parts next to the border would merge before theirs.
         """
+        pair = self.text_of[ids[0]], self.text_of[ids[1]]
         left, right = self.trace(pair[0]), self.trace(pair[1])
         x, y, i, j, known = pair[0][-1], pair[1][0], 0, 0, None
         while known is None:
@@ -110,9 +113,9 @@ class Vocabulary:
                 x, i = left[i][2], i + 1
             else:
                 y, j = right[j][1], j + 1
-        if len(self.stable) > REMEMBERED:
+        if len(self.stable) > PAIRS:
             self.stable.clear()
-        self.stable[pair] = known
+        self.stable[ids] = known
         return known
 
     def trace(self, piece: str) -> list[tuple[float, str, str]]:
@@ -149,9 +152,9 @@ class ForwardStates:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.word = vocabulary, ""
-        # for each position: the piece that ends there (empty for an unknown character, which
-        # merges with nothing), the ids up to there, and the best sum of scores
-        self.last: list[str] = [""]
+        # for each position: the id of the piece that ends there (none for an unknown character,
+        # which merges with nothing), the ids up to there, and the best sum of scores
+        self.last: list[int | None] = [None]
         self.path: list[tuple[int, ...]] = [()]
         self.best: list[float] = [0.0]
         # an unknown character costs more than any path of known pieces, as in the published model
@@ -160,33 +163,39 @@ class ForwardStates:
     def advance(self, word: str) -> tuple[int, ...]:
         """Goes up to the common prefix of the last word and down to the end of this one."""
         before, shared = self.word, 0
-        for x, y in zip(before, word, strict=False):
-            if x != y:
-                break
-            shared += 1
-        del self.last[shared + 1 :], self.path[shared + 1 :], self.best[shared + 1 :]
+        if word.startswith(before):
+            shared = len(before)
+        else:
+            while word[: shared + 1] == before[: shared + 1] and shared < len(word):
+                shared += 1
+            del self.last[shared + 1 :], self.path[shared + 1 :], self.best[shared + 1 :]
         self.word = word
         (self._bpe if self.vocabulary.kind == "bpe" else self._unigram)(word, shared + 1)
         return self.path[-1]
 
     def _bpe(self, word: str, begin: int) -> None:
         v, last, path = self.vocabulary, self.last, self.path
-        alone, stable, separate, lengths = v.alone, v.stable, v.separate, v.lengths
+        piece_id, separate, lengths = v.alone.get, v.stable.get, v.lengths.get
         for end in range(begin, len(word) + 1):
-            for length in lengths.get(word[max(0, end - 3) : end], (2, 1)):
-                start = end - length
-                if start < 0:
+            for length in lengths(word[end - 3 : end] if end > 2 else word[:end], (2, 1)):
+                if length > end:
+                    continue
+                own = piece_id(word[end - length : end])
+                if own is None:
                     continue
-                piece = word[start:end]
-                if piece in alone:
-                    # nothing merges across the word's start or an unknown character
-                    pair = (last[start], piece)
-                    if not pair[0] or (stable[pair] if pair in stable else separate(pair)):
-                        last.append(piece)
-                        path.append((*path[start], alone[piece]))
-                        break
+                # nothing merges across the word's start or an unknown character
+                left = last[end - length]
+                if left is not None:
+                    apart = separate((left, own))
+                    if apart is None:
+                        apart = v.separate((left, own))
+                    if not apart:
+                        continue
+                last.append(own)
+                path.append(path[end - length] + (own,))
+                break
             else:
-                last.append("")
+                last.append(None)
                 path.append((*path[end - 1], *v.char_ids(word[end - 1])))
 
     def _unigram(self, word: str, begin: int) -> None:
@@ -203,7 +212,7 @@ class ForwardStates:
                 if best is None or alone > best:
                     best, at, piece = alone, end - 1, ""
             scores.append(best)
-            self.last.append(piece)
+            self.last.append(v.ids.get(piece))
             own = (v.ids[piece],) if piece else v.char_ids(word[end - 1])
             self.path.append((*self.path[at], *own))
 
@@ -262,28 +271,37 @@ def _replaced(df: DataFrame, source: str, name: str, kind: T.DataType):
                                T.StructField(name, kind)])
 
 
-def encode_texts(df: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
+def encode_texts(df: DataFrame, model: str, text: str = "text", name: str = "ids",
+                 round_trip: str | None = None) -> DataFrame:
     """``df`` with the piece ids of ``text`` as ``name`` (array of int); no shuffle.
 
     ``model`` is a SentencePiece model file; its pieces, a bounded table, go to the executors.
+    ``round_trip`` names a further column: whether decoding the ids gives the text.
     """
-    if name == text:
-        raise ValueError("the ids need a column of their own")
+    if name == text or round_trip in (text, name):
+        raise ValueError("the results need columns of their own")
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    kept, schema = _replaced(df, text, name, T.ArrayType(T.IntegerType()))
+    base = df if round_trip is None else df.drop(round_trip)
+    kept, schema = _replaced(base, text, name, T.ArrayType(T.IntegerType()))
+    if round_trip is not None:
+        schema = schema.add(round_trip, T.BooleanType())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         known = vocabulary.known  # lives as long as the Python worker
         for batch in chain.from_iterable(pieces(b, text, STEP_BYTES) for b in batches):
-            words = [marked_words(t) if t is not None else None
-                     for t in batch.column(text).to_pylist()]
+            texts = batch.column(text).to_pylist()
+            words = [marked_words(t) if t is not None else None for t in texts]
             known.learn(set().union(*filter(None, words)), vocabulary)
             values, offsets = known.ids([w or [] for w in words])
             missing = pa.array([w is None for w in words], pa.bool_())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=missing)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids],
-                                             names=[*batch.schema.names, name])
+            columns = [*batch.columns, ids]
+            if round_trip is not None:
+                columns.append(pa.array([
+                    t is None or decode(values[a:b].tolist(), vocabulary) == t.replace(MARK, " ")
+                    for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(encode, schema)
 
@@ -308,8 +326,6 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", name: str = "text")
 
 def encoded_documents(documents: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the ids decode to the text) of every document."""
-    encoded = encode_texts(documents.select("doc_id", "text"), model)
-    decoded = decode_ids(encoded, model, name="_decoded")
-    same = F.col("_decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" ")))
-    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-                          "ids", same.alias("round_trip"))
+    encoded = encode_texts(documents.select("doc_id", "text"), model, round_trip="round_trip")
+    count = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return encoded.select("doc_id", count.alias("n_tokens"), "ids", "round_trip")

@@ -37,7 +37,8 @@ def test_separate_pieces_are_what_merging_gives():
     pieces = list(vocabulary.alone)
     for _ in range(3000):
         pair = rng.choice(pieces), rng.choice(pieces)
-        assert vocabulary.separate(pair) == (vocabulary.merge("".join(pair)) == [*pair])
+        ids = vocabulary.ids[pair[0]], vocabulary.ids[pair[1]]
+        assert vocabulary.separate(ids) == (vocabulary.merge("".join(pair)) == [*pair])
 
 
 def test_unigram_paths_have_the_best_sum():
