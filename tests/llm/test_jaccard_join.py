@@ -54,9 +54,12 @@ def corpus():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "a b"), (n + 4, "A  B"), (n + 5, "a b c")]
 
 
-@pytest.mark.parametrize("words,percent,block", [(3, 90, 4096), (5, 80, 16)])
-def test_components_equal_all_pairs(documents_of, monkeypatch, words, percent, block):
+@pytest.mark.parametrize("words,percent,block,leaders,rounds", [(3, 90, 4096, 12, 1), (5, 80, 16, 1, 0)])
+def test_components_equal_all_pairs(documents_of, monkeypatch, words, percent, block, leaders, rounds):
+    """Whatever leaders and hubs have linked before, the rest is found."""
     monkeypatch.setattr(join, "BLOCK", block)
+    monkeypatch.setattr(join, "LEADERS", leaders)
+    monkeypatch.setattr(join, "HUB_ROUNDS", rounds)
     rows = corpus()
     found = join.linked_documents(documents_of(rows), words, percent).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
