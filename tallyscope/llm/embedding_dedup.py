@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from tallyscope.session import cut
 LEAST_COSINE = 0.93
 TABLES, HASHES, AXES = 8, 2, 2
 BLOCK = 2048
+#: Buckets of up to so many vectors are compared together with others.
+SMALL_RUN = 32
 SEED = 20
 
 
@@ -100,20 +103,53 @@ def _bucket_rows(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(codes, "rep long, table int, code long").distinct()
 
 
-def _linked(vectors: np.ndarray, codes: np.ndarray, table: int, code: int, left: np.ndarray,
-            right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of ``left`` x ``right`` with enough cosine, and whether this bucket is the
-    first that both are in."""
+def _pairs(run: np.ndarray, chunk: np.ndarray, across: np.ndarray, vectors: np.ndarray,
+           least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one run (rows of a run lie next to each other) with enough cosine.
+
+    Small runs are compared all at once, pair by pair; large ones as blocks of a product. Where
+    a run holds two chunks (``across``), only rows of different chunks are compared.
+    """
     norms = np.sqrt((vectors * vectors).sum(1))
-    hits = (vectors[left] @ vectors[right].T) / (norms[left][:, None] * norms[right]) >= least
-    i, j = np.nonzero(hits)
-    i, j = left[i], right[j]
-    common = (codes[i][:, :, :, None] == codes[j][:, :, None, :]).any(3)
-    shared = np.where(common, codes[i], np.iinfo(np.int64).max).min(2)  # smallest code by table
-    any_ = common.any(2)
-    first = any_.argmax(1)
-    mine = (first == table) & (shared[np.arange(len(i)), first] == code)
-    return i, j, mine
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[first, len(run)])
+    small = size <= SMALL_RUN
+    # each row of a small run with every later row of it
+    row = np.flatnonzero(np.repeat(small, size))
+    later = (np.repeat(first + size, size) - np.arange(len(run)) - 1)[row]
+    i = np.repeat(row, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    dots = np.empty(len(i))
+    for at in range(0, len(i), 20_000):
+        part = slice(at, at + 20_000)
+        dots[part] = np.einsum("ij,ij->i", vectors[i[part]], vectors[j[part]])
+    found = [(i, j, dots / (norms[i] * norms[j]) >= least)]
+    for begin, n in zip(first[~small], size[~small], strict=True):
+        for at in range(begin, begin + n, 512):
+            end = min(at + 512, begin + n)
+            cosines = (vectors[at:end] @ vectors[at : begin + n].T) / (
+                norms[at:end, None] * norms[at : begin + n])
+            x, y = np.nonzero(cosines >= least)
+            found.append((x[x < y] + at, y[x < y] + at, np.ones((x < y).sum(), bool)))
+    i, j, hit = (np.concatenate(x) for x in zip(*found, strict=True))
+    hit &= ~across[i] | (chunk[i] != chunk[j])
+    return i[hit], j[hit]
+
+
+def _in_first_bucket(i: np.ndarray, j: np.ndarray, table: np.ndarray, code: np.ndarray,
+                     vectors: np.ndarray) -> np.ndarray:
+    """Whether the bucket at hand is the first that both vectors of a pair are in."""
+    named, local = np.unique(np.r_[i, j], return_inverse=True)
+    codes = bucket_codes(vectors[named])
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        part = slice(at, at + 20_000)
+        x, y = codes[local[: len(i)][part]], codes[local[len(i) :][part]]
+        common = (x[:, :, :, None] == y[:, :, None, :]).any(3)
+        shared = np.where(common, x, np.iinfo(np.int64).max).min(2)  # smallest code by table
+        first = common.any(2).argmax(1)
+        out[part] = (first == table[i[part]]) & (shared[np.arange(len(x)), first] == code[i[part]])
+    return out
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -133,56 +169,47 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def _verified(blocks: DataFrame, least: float) -> DataFrame:
     """rep, root, links: per block, the links of each vector and the forest of the block."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Rows of equal key, which arrive next to each other."""
-        held: list[pa.RecordBatch] = []
-        keys = ["bucket", "low", "high"]
+    def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows again, cut between keys only; a key has at most two chunks of rows."""
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_numpy() for k in keys]
-            change = np.zeros(batch.num_rows - 1, bool)
-            for c in columns:
-                change |= c[1:] != c[:-1]
-            edges = [0, *(np.flatnonzero(change) + 1), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                part = batch.slice(a, b - a)
-                if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in keys):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield pa.Table.from_batches(held)
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            last = run_numbers(held)
+            cut_at = int(np.searchsorted(last, last[-1])) if len(last) else 0
+            if cut_at:
+                yield held.slice(0, cut_at).combine_chunks()
+                held = held.slice(cut_at)
+        if held is not None and held.num_rows:
+            yield held.combine_chunks()
+
+    def run_numbers(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(max(0, rows.num_rows - 1), np.int64)
+        for key in ("bucket", "low", "high"):
+            column = rows[key].to_numpy()
+            change |= column[1:] != column[:-1]
+        return np.cumsum(np.r_[np.zeros(min(1, rows.num_rows), np.int64), change])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches):
-            if run.num_rows < 2:
-                continue
-            run = run.combine_chunks()
-            low, high = run["low"][0].as_py(), run["high"][0].as_py()
-            chunk, rep = run["chunk"].to_numpy(), run["rep"].to_numpy()
-            copies = run["copies"].to_numpy()
-            vectors = _matrix(run["embedding"].combine_chunks())
-            codes = bucket_codes(vectors)
-            left = np.flatnonzero(chunk == low)
-            right = np.flatnonzero(chunk == high)
-            if not len(left) or not len(right):
-                continue
-            found, table, code = [], run["table"][0].as_py(), run["code"][0].as_py()
-            for a in range(0, len(left), 512):
-                i, j, mine = _linked(vectors, codes, table, code, left[a : a + 512], right, least)
-                once = i < j if low == high else np.ones(len(i), bool)
-                found.append((i[once], j[once], mine[once]))
-            i, j, mine = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(i):
-                continue
-            links = np.zeros(len(rep), np.int64)
-            np.add.at(links, i[mine], copies[j[mine]])
-            np.add.at(links, j[mine], copies[i[mine]])
-            root = rep[_forest(i, j, len(rep))]
-            keep = (links > 0) | (root != rep)
-            yield pa.RecordBatch.from_pydict(
-                {"rep": rep[keep], "root": root[keep], "links": links[keep]})
+        for rows in whole_runs(batches):
+            # vectors of one length: a bucket's are, so runs stay whole
+            for d in np.unique(rows["d"].to_numpy()):
+                part = rows.filter(pc.equal(rows["d"], int(d))).combine_chunks()
+                vectors = _matrix(part["embedding"].combine_chunks())
+                names = ("rep", "copies", "chunk", "low", "high", "table", "code")
+                rep, copies, chunk, low, high, table, code = (part[c].to_numpy() for c in names)
+                i, j = _pairs(run_numbers(part), chunk, low != high, vectors, least)
+                if not len(i):
+                    continue
+                mine = _in_first_bucket(i, j, table, code, vectors)
+                ids, at = np.unique(rep, return_inverse=True)
+                links = np.zeros(len(ids), np.int64)
+                np.add.at(links, at[i[mine]], copies[j[mine]])
+                np.add.at(links, at[j[mine]], copies[i[mine]])
+                root = ids[_forest(at[i], at[j], len(ids))]
+                keep = (links > 0) | (root != ids)
+                yield pa.RecordBatch.from_pydict(
+                    {"rep": ids[keep], "root": root[keep], "links": links[keep]})
 
     return in_small_batches(blocks).mapInArrow(verify, "rep long, root long, links long")
 
@@ -195,7 +222,7 @@ def linked_vectors(embeddings: DataFrame, least: float = LEAST_COSINE, block: in
              & F.col("embedding").isNotNull() & finite
              & F.exists("embedding", lambda x: x != 0))
     rows = embeddings.select("vec_id", F.col("label").alias("_label"),
-                             F.when(alive, F.col("embedding").cast("array<double>")).alias("_v"))
+                             F.when(alive, F.col("embedding")).alias("_v"))
     # equal vectors of a label, counted per task before they are sent
     reps = cut(
         rows.where("_v is not null").groupBy("_label", F.col("_v").alias("embedding"))
@@ -219,7 +246,7 @@ def linked_vectors(embeddings: DataFrame, least: float = LEAST_COSINE, block: in
     keys = ["bucket", "low", "high"]
     parts = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
-        dealt.join(reps.select("rep", "copies", "embedding"), "rep")
+        dealt.join(reps.select("rep", "copies", "d", "embedding"), "rep")
         .repartition(parts, *keys).sortWithinPartitions(*keys)
     )
     verified = cut(_verified(blocks, least))
