@@ -1,6 +1,6 @@
 import random
 
-from tallyscope.llm.components import components
+from tallyscope.llm.components import components, groups_within
 
 
 def test_paths_stars_and_loops(spark):
@@ -14,3 +14,15 @@ def test_paths_stars_and_loops(spark):
     want = {n: min(nodes[:40]) for n in nodes[:40]} | {n: min(nodes[50:90]) for n in nodes[50:90]}
     assert found == want | {n: min(nodes[101:103]) for n in nodes[101:103]}
     assert components(links.limit(0)).count() == 0
+
+
+def test_groups_within_some_hops_are_parts_of_components(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    whole = {r.id: r.component for r in components(links).collect()}
+    near = {r.id: r.component for r in groups_within(links, hops=3).collect()}
+    assert near.keys() == whole.keys()
+    assert all(whole[label] == whole[i] for i, label in near.items())
+    far = {r.id: r.component for r in groups_within(links, hops=30).collect()}
+    assert far == whole
