@@ -6,13 +6,15 @@ then by hash. Two sets that link share a shingle among the first few of both (pr
 only those are indexed. An index list is kept by set size and holds each set's position in it.
 
 Set relations spare most of the work:
-* in each list, a set is first paired only with its leader, the smallest set in reach of its
-  size; the leader it shares most lists with is checked, which links the members of a group of
-  near copies in as many checks as members;
-* what a set's answers are inside its group follows from its leader's, so that later only sets
+* in each list, a set is first paired only with the list's leaders, its ``LEADERS`` sets of lowest
+  hash, then with the hubs, the best-linked sets of other groups; those it shares enough lists with
+  are checked, which links the members of a group of near copies in a number of checks that grows
+  with the members, not with their pairs;
+* what a set's answers are inside its group follows from its leaders', so that later only sets
   of different groups are compared; lists that hold one group are skipped whole;
-* in what is left, blocks of a list are skipped where the sizes or the positions in the list rule
-  out the needed overlap. Every pair that remains is checked on its full sets.
+* in what is left, parts of a list are skipped where the sizes or the positions in the list rule
+  out the needed overlap, and pairs that share too few lists for it. Every pair that remains is
+  checked on its full sets.
 
 So no link between sets of different groups is lost, while the pairs inside a group of thousands
 are never listed. Long lists are dealt into pairs of chunks, so that no task holds a whole one.
@@ -33,17 +35,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import in_small_batches, pieces
-from tallyscope.llm.components import components
-from tallyscope.session import cut, scratch_path
+from tallyscope.llm.components import components, groups_within
+from tallyscope.session import cut, scratch_path, staged
 
 #: Cells of the table of shingle counts.
 CELL_BITS = 16
 #: Words whose hashes a task remembers before it starts over; bounds memory only.
 REMEMBERED = 300_000
+#: Sets of a list, and of those a set meets, that it is checked against before all others.
+LEADERS = 12
+HUB_ROUNDS = 1
 #: Sets of a list that one task compares with each other at once.
 BLOCK = 4096
 #: Words of 64 bits in the filter that spares computing sets nobody asks for.
@@ -85,6 +90,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def needed(a: Column, b: Column, percent: int) -> Column:
+    """Index lists that two sets of these sizes share at least if they link.
+
+    Of the two indexed parts, take the one that ends first in the global order: what of it isn't
+    in the other part isn't in the other set. So the overlap is at most the shared lists and the
+    set's shingles behind its part, and must reach its least value for the sizes.
+    """
+    overlap = F.ceil(percent * (a + b) / (100 + percent))
+    return overlap - F.ceil(percent * F.greatest(a, b) / 100) + 1
+
+
 def can_link(n: int, percent: int) -> bool:
     """Whether a set of this size can link with a set that isn't equal."""
     return 100 * n >= percent * (n + 1)
@@ -159,15 +175,15 @@ def _postings(documents: DataFrame, classes: np.ndarray, words: int, percent: in
 
 
 def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
-    """Rows of lists of two sets or more, with the leader of each set in its list.
+    """Rows of lists of two sets or more, with the leaders before each set in its list.
 
-    Rows come by token, size, key. A leader is the smallest set of its list not yet out of reach
-    of the sizes that follow; only the current leader is kept in mind, not the list.
+    Rows come by token, hash of the key, key. The first ``LEADERS`` sets of a list are its leaders;
+    only they are kept in mind, not the list.
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far, whose list may go on
-        token = leader = size = None
+        token, leaders = None, []
         for batch in chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
@@ -184,22 +200,29 @@ def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
             member = np.r_[joined, False] | np.r_[t[0] == token, joined]
             end = len(t) if fresh is None else len(t) - 1
             rows = np.flatnonzero(member[:end])
-            leaders = np.empty(len(rows), np.int64)
-            for at, (x, y, z) in enumerate(zip(t[rows].tolist(), k[rows].tolist(), n[rows].tolist(),
-                                               strict=True)):
-                if x != token or 100 * size < percent * z:
-                    token, leader, size = x, y, z
-                leaders[at] = leader
+            keys, sizes, ends = [], [], [0]
+            for x, y, z in zip(t[rows].tolist(), k[rows].tolist(), n[rows].tolist(), strict=True):
+                if x != token:
+                    token, leaders = x, []
+                for other, size in leaders:
+                    if 100 * min(size, z) >= percent * max(size, z):
+                        keys.append(other)
+                        sizes.append(size)
+                ends.append(len(keys))
+                if len(leaders) < LEADERS:
+                    leaders.append((y, z))
             held = [c[end:] for c in (t, k, n, pos)] if end < len(t) else None
             if held is not None and not (end and t[end] == t[end - 1]) and t[end] != token:
                 token = None
             if len(rows):
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "n"])
                 yield pa.RecordBatch.from_pydict({
                     "token": t[rows], "key": k[rows], "n": n[rows], "pos": pos[rows],
-                    "leader": leaders})
+                    "leaders": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)})
 
     return in_small_batches(lists).mapInArrow(
-        lead, "token long, key long, n int, pos int, leader long")
+        lead, "token long, key long, n int, pos int, leaders array<struct<key:long,n:int>>")
 
 
 def _filter_words(keys: DataFrame, column: str) -> np.ndarray:
@@ -250,11 +273,22 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def _checked(pairs: DataFrame, documents: DataFrame, firsts: DataFrame, words: int,
-             percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _with_sets_of(pairs: DataFrame, known: DataFrame | None, documents: DataFrame,
+                  firsts: DataFrame, words: int) -> DataFrame:
+    """``known`` (key, shingles) and the written sets of all ends of ``pairs`` it doesn't have."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    sets = _sets(documents, firsts.join(ends.distinct(), "key"), words)
+    missing = ends.distinct()
+    if known is not None:
+        missing = missing.join(known.select("key"), "key", "left_anti")
+    wanted = cut(firsts.join(missing, "key"))
+    if not wanted.take(1):
+        return known if known is not None else staged(_sets(documents.limit(0), wanted, words))
+    found = staged(_sets(documents, wanted, words).join(wanted.select("key"), "key", "left_semi"))
+    return found if known is None else known.unionByName(found)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b"))
 
@@ -271,22 +305,56 @@ def _checked(pairs: DataFrame, documents: DataFrame, firsts: DataFrame, words: i
     return in_small_batches(both).mapInArrow(check, "a long, b long")
 
 
-def _across_groups(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different groups that a list's sizes and positions leave possible."""
-    grouped = lists.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn(
+def _grouped(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the lists that hold more than one group, with the group of each set."""
+    rows = lists.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn(
         "group", F.coalesce("component", "key")).select("token", "key", "n", "pos", "group")
-    several = grouped.groupBy("token").agg(
-        F.count(F.lit(1)).alias("_m"), F.min("group").alias("_x"), F.max("group").alias("_y")
-    ).where("_x <> _y").select("token", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_chunks"))
+    several = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("m"), F.min("group").alias("_x"), F.max("group").alias("_y"))
+    return rows.join(several.where("_x <> _y").drop("_x", "_y"), "token")
+
+
+def _shared_enough(pairs: DataFrame, percent: int, most: int) -> DataFrame:
+    """Of pairs (key, n, leader, leader_n), a row for each shared list: those that share enough
+    lists, at most ``most`` for each key, as (a, b). What is left out here is met again later."""
+    shared = pairs.groupBy("key", "n", "leader", "leader_n").agg(F.count(F.lit(1)).alias("m"))
+    ranked = Window.partitionBy("key").orderBy(F.desc("m"), "leader")
+    return (
+        shared.where(F.col("m") >= needed(F.col("n"), F.col("leader_n"), percent))
+        .withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= most)
+        .select(F.col("key").alias("a"), F.col("leader").alias("b"))
+    )
+
+
+def _with_hubs(grouped: DataFrame, links: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a set and the sets with most links of other groups in its lists."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    ranked = Window.partitionBy("component").orderBy(F.desc("degree"), "id")
+    hubs = (
+        ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).join(groups, "id")
+        .withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= LEADERS)
+        .select(F.col("id").alias("key"))
+    )
+    rows = grouped.join(hubs, "key").select(
+        "token", F.col("key").alias("leader"), F.col("n").alias("leader_n"),
+        F.col("group").alias("_group"))
+    small, large = F.least("n", "leader_n"), F.greatest("n", "leader_n")
+    pairs = grouped.join(rows, "token").where(
+        (F.col("group") != F.col("_group")) & (100 * small >= percent * large))
+    return _shared_enough(pairs, percent, LEADERS)
+
+
+def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different groups that a list's sizes and positions leave possible."""
     dealt = (
-        grouped.join(several, "token")
+        grouped.withColumn("_chunks", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("_chunks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
         .select("token", "key", "n", "pos", "group", "chunk",
                 F.least("chunk", "_other").alias("low"), F.greatest("chunk", "_other").alias("high"))
     )
     keys = ["token", "low", "high"]
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "n", "key")
 
     def pairs_of(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +368,26 @@ def _across_groups(lists: DataFrame, groups: DataFrame, percent: int) -> DataFra
             stop = np.searchsorted(n, 100 * n[a[-1]] // percent, "right")
             b = np.arange(begin + 1, stop)
             need = (percent * (n[a][:, None] + n[b]) + 99 + percent) // (100 + percent)
-            left = np.minimum((n - pos)[a][:, None], (n - pos)[b])
+            # the overlap is at most what lies before this shingle in both, it, and what lies behind
+            left = np.minimum(pos[a][:, None], pos[b]) + np.minimum((n - pos)[a][:, None],
+                                                                    (n - pos)[b])
             open_ = ((a[:, None] < b) & (group[a][:, None] != group[b]) & (left >= need)
                      & (100 * n[a][:, None] >= percent * n[b]))
             if low[0] != high[0]:
                 open_ &= chunk[a][:, None] != chunk[b]
             i, j = np.nonzero(open_)
             if len(i):
-                x, y = key[a[i]], key[b[j]]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                x, y = a[i], b[j]
+                x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                partners = pa.StructArray.from_arrays(
+                    [pa.array(key[y]), pa.array(n[y])], names=["key", "n"])
+                yield pa.RecordBatch.from_pydict({
+                    "a": key[x[first]], "n": n[x[first]],
+                    "partners": pa.ListArray.from_arrays(
+                        pa.array(np.r_[first, len(x)], pa.int32()), partners)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -329,7 +408,38 @@ def _across_groups(lists: DataFrame, groups: DataFrame, percent: int) -> DataFra
                 yield from pairs_of([c[start:end] for c in held])
             held = [c[edges[-2] :] for c in held] if batch is not None else []
 
-    return in_small_batches(blocks).mapInArrow(compare, "a long, b long").distinct()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partners of a set from all its lists, which lie next to each other."""
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if held:
+                    yield enough(held)
+                return
+            a = batch.column("a").to_numpy()
+            edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1), len(a)] if len(a) else [0]
+            for start, end in zip(edges, edges[1:], strict=False):
+                part = batch.slice(start, end - start)
+                if held and held[-1].column("a")[0] != part.column("a")[0]:
+                    yield enough(held)
+                    held = []
+                held.append(part)
+
+    def enough(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own, size = rows[0].column("a")[0].as_py(), rows[0].column("n")[0].as_py()
+        parts = [r.column("partners").flatten() for r in rows]
+        keys = np.concatenate([p.field("key").to_numpy() for p in parts])
+        sizes = np.concatenate([p.field("n").to_numpy() for p in parts])
+        keys, at, times = np.unique(keys, return_index=True, return_counts=True)
+        both, large = sizes[at] + size, np.maximum(sizes[at], size)
+        least = -(-percent * both // (100 + percent)) + (-percent * large // 100) + 1  # needed()
+        keys = keys[times >= least]
+        return pa.RecordBatch.from_pydict({"a": np.full(len(keys), own, np.int64), "b": keys})
+
+    found = in_small_batches(blocks).mapInArrow(
+        compare, "a long, n long, partners array<struct<key:long,n:long>>")
+    by_set = found.repartition(parts, "a").sortWithinPartitions("a")
+    return in_small_batches(by_set).mapInArrow(count, "a long, b long")
 
 
 def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -350,22 +460,34 @@ def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90) ->
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = _postings(documents, classes, words, percent).repartition(
-        parts, "token").sortWithinPartitions("token", "n", "key")
+        parts, "token").sortWithinPartitions("token", F.xxhash64("key"), "key")
     path = scratch_path(spark, "lists")
     _with_leaders(lists, percent).write.parquet(path)
     lists = spark.read.parquet(path)
 
     firsts = cut(rows.where("key is not null and doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id")))
-    shared = lists.where("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("m"))
-    nearest = shared.groupBy("key").agg(F.max(F.struct("m", "leader")).alias("x")).select(
-        F.col("key").alias("a"), F.col("x.leader").alias("b"))
-    links = cut(_checked(cut(nearest), documents, firsts, words, percent))
-    groups = components(links)
-    across = cut(_across_groups(lists, groups, percent))
-    if across.take(1):
-        links = links.unionByName(_checked(across, documents, firsts, words, percent))
-        groups = components(links)
+    led = lists.where(F.size("leaders") > 0).select("key", "n", F.explode("leaders").alias("l"))
+    nearest = cut(_shared_enough(
+        led.select("key", "n", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n")),
+        percent, LEADERS))
+    sets = _with_sets_of(nearest, None, documents, firsts, words)
+    links = cut(_checked(nearest, sets, percent))
+    groups = groups_within(links)
+    lists = lists.drop("leaders")
+    for _ in range(HUB_ROUNDS):
+        grouped = cut(_grouped(lists, groups))
+        hubs = cut(_with_hubs(grouped, links, groups, percent))
+        sets = _with_sets_of(hubs, sets, documents, firsts, words)
+        links = cut(links.unionByName(_checked(hubs, sets, percent)))
+        groups = groups_within(links)
+        lists = grouped.select("token", "key", "n", "pos")
+    across = cut(_across_groups(_grouped(lists, groups), percent))
+    sets = _with_sets_of(across, sets, documents, firsts, words)
+    links = links.unionByName(_checked(across, sets, percent))
+    # the groups' own links stand for the many that they came from
+    stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    groups = components(stars.unionByName(links))
 
     named = firsts.join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
