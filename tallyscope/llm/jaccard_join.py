@@ -20,6 +20,10 @@ So no link between sets of different groups is lost, while the pairs inside a gr
 are never listed. Long lists are dealt into pairs of chunks, so that no task holds a whole one.
 Copies are dropped per task before the index is sent.
 
+Links are counted exactly. Inside a group they follow from each set's difference to the group's
+leader, its best-linked set: the sizes of two differences bound the overlap of their sets from both
+sides, and only pairs that these leave open are decided by what the differences have in common.
+
 A document's set: distinct shingles of ``words`` words, lower-cased A-Z; with fewer words the
 whole sequence as one shingle; null texts and texts without words have the empty set, which links
 with nothing. Rows without an id link with nothing and have no component. Repeated rows have
@@ -51,6 +55,12 @@ LEADERS = 12
 HUB_ROUNDS = 1
 #: Sets of a list that one task compares with each other at once.
 BLOCK = 4096
+#: Sets of a group whose differences to its leader one task compares with each other at once.
+GROUP_BLOCK = 2048
+#: Tasks that the links of one set are dealt to.
+SALTS = 16
+#: Rows of link counts that a task sends at once.
+SENT = 10_000
 #: Words of 64 bits in the filter that spares computing sets nobody asks for.
 FILTER_BITS = 18
 STEP_BYTES = 2_000_000
@@ -442,10 +452,151 @@ def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
     return in_small_batches(by_set).mapInArrow(count, "a long, b long")
 
 
-def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, and the key of its set, of every row.
+def _differences(groups: DataFrame, links: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """group, key, n, copies, chunk, chunks and the difference to the group's leader, of every set
+    in a group of two or more."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    degrees = groups.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id")
+    leaders = degrees.groupBy("component").agg(
+        F.max(F.struct("degree", "id")).alias("_best"), F.count(F.lit(1)).alias("m"))
+    members = (
+        groups.join(leaders.where("m > 1"), "component")
+        .withColumn("chunks", F.ceil(F.col("m") / GROUP_BLOCK).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        .select(F.col("component").alias("group"), F.col("id").alias("key"),
+                F.col("_best.id").alias("leader"), "chunk", "chunks")
+        .join(sets, "key").join(copies.where("copies > 1"), "key", "left")
+        .select("group", "key", F.coalesce("copies", F.lit(1)).alias("copies"), "chunk", "chunks",
+                (F.col("key") == F.col("leader")).alias("_leads"), "shingles")
+    )
+    # the leader's set goes before each chunk of its group
+    columns = ["group", "key", "copies", "chunk", "chunks", "leads", "shingles"]
+    heads = members.where("_leads").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("leads", F.lit(1))
+    rows = members.withColumn("leads", F.lit(0)).select(*columns).unionByName(heads.select(*columns))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "group", "chunk").sortWithinPartitions(
+        "group", "chunk", F.desc("leads"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = np.empty(0, np.uint64)
+        for batch in batches:
+            kept, sizes, data = [], [], []
+            for i, leads in enumerate(batch.column("leads").to_pylist()):
+                own = _unpacked(batch.column("shingles")[i].as_py())
+                if leads:
+                    leader = own
+                    continue
+                apart = np.setxor1d(own, leader, assume_unique=True)
+                kept.append(i)
+                sizes.append(len(own))
+                data.append(_packed(apart << np.uint64(24)))
+            if kept:
+                mine = batch.select(["group", "key", "copies", "chunk", "chunks"]).take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(
+                    [*mine.columns, pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
+                    names=[*mine.schema.names, "n", "difference"])
+
+    return in_small_batches(rows).mapInArrow(
+        differ, "group long, key long, copies long, chunk int, chunks int, n long, difference binary")
+
+
+def _links_of(n: np.ndarray, copies: np.ndarray, differences: list[np.ndarray], percent: int,
+              chunk: np.ndarray | None = None) -> np.ndarray:
+    """Each set's links with the others, from the differences to one leader; if there is
+    ``chunk``, only the links from one chunk to another."""
+    size = np.array([len(d) for d in differences])
+    token = np.unique(np.concatenate([*differences, np.empty(0, np.uint64)]), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(n)), size)[np.argsort(token, kind="stable")]
+    begin = np.r_[0, np.cumsum(np.bincount(token, minlength=1))]
+    first = np.r_[0, np.cumsum(size)]
+    total = np.zeros(len(n), np.int64)
+    for i in range(len(n) - 1):
+        both = n[i] + n[i + 1 :]
+        need = -(-percent * both // (100 + percent))
+        # the overlap is this and what the differences have in common
+        least = (both - size[i] - size[i + 1 :]) // 2
+        linked = least >= need
+        open_ = ~linked & (least + np.minimum(size[i], size[i + 1 :]) >= need)
+        if chunk is not None:
+            other = chunk[i + 1 :] != chunk[i]
+            linked &= other
+            open_ &= other
+        if open_.any():
+            t = token[first[i] : first[i + 1]]
+            each = begin[t + 1] - begin[t]
+            at = np.repeat(begin[t] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            common = np.bincount(holder[at], minlength=len(n))[i + 1 :]
+            linked |= open_ & (least + common >= need)
+        total[i] += copies[i + 1 :][linked].sum()
+        total[i + 1 :] += linked * copies[i]
+    return total
+
+
+def _links_inside(differences: DataFrame, percent: int) -> DataFrame:
+    """key, n_links: the links of a set with sets of its own group, in a row for each block."""
+    dealt = differences.withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    ).select(
+        "group", "key", "copies", "chunk", "n", "difference",
+        F.least("chunk", "_other").alias("low"), F.greatest("chunk", "_other").alias("high"))
+    keys = ["group", "low", "high"]
+    parts = int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def counted(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        key, n, copies, chunk = (np.concatenate([r.column(c).to_numpy() for r in rows])
+                                 for c in ("key", "n", "copies", "chunk"))
+        apart = [_unpacked(d.as_py()) for r in rows for d in r.column("difference")]
+        inside = rows[0].column("low")[0] == rows[0].column("high")[0]
+        return key, _links_of(n, copies, apart, percent, None if inside else chunk)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, ready = [], None, []
+        for batch in chain(batches, [None]):
+            if batch is None:
+                edges = [0]
+            else:
+                marks = np.stack([batch.column(c).to_numpy() for c in keys])
+                change = (marks[:, 1:] != marks[:, :-1]).any(axis=0)
+                edges = [0, *(np.flatnonzero(change) + 1), batch.num_rows] if batch.num_rows else [0]
+            for start, end in zip(edges, edges[1:], strict=False):
+                here = tuple(marks[:, start])
+                if held and here != at:
+                    ready.append(counted(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+                at = here
+            if batch is None and held:
+                ready.append(counted(held))
+            if ready and (batch is None or sum(len(k) for k, _ in ready) >= SENT):
+                yield pa.RecordBatch.from_pydict({
+                    "key": np.concatenate([k for k, _ in ready]),
+                    "n_links": np.concatenate([c for _, c in ready])})
+                ready = []
+
+    return in_small_batches(blocks).mapInArrow(compare, "key long, n_links long")
+
+
+def _links_across(links: DataFrame, copies: DataFrame) -> DataFrame:
+    """key, n_links of both ends of distinct links (a, b); the links of one set in ``SALTS`` tasks."""
+    both = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    salted = both.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    every = copies.where("copies > 1").select(
+        F.col("key").alias("other"), "copies",
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(every, ["other", "_salt"], "left").select(
+        "key", F.coalesce("copies", F.lit(1)).alias("n_links"))
+
+
+def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90,
+                     count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, the key of its set, and n_links of every row.
 
-    Two documents link when 100 * intersection >= percent * union of their sets.
+    Two documents link when 100 * intersection >= percent * union of their sets. ``n_links`` is
+    the number of other ids that a row links with, equal sets included; without ``count_links``
+    the column isn't there and its work not done.
     """
     spark = documents.sparkSession
     path = scratch_path(spark, "shingles")
@@ -484,7 +635,19 @@ def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90) ->
         lists = grouped.select("token", "key", "n", "pos")
     across = cut(_across_groups(_grouped(lists, groups), percent))
     sets = _with_sets_of(across, sets, documents, firsts, words)
-    links = links.unionByName(_checked(across, sets, percent))
+    found = _checked(across, sets, percent)
+    if count_links:
+        # every link is inside one of the groups or between two of them
+        found = cut(found)
+        copies = cut(rows.where("key is not null and doc_id is not null").select("key", "doc_id")
+                     .distinct().groupBy("key").agg(F.count(F.lit(1)).alias("copies")))
+        inside = _links_inside(_differences(groups, links, sets, copies), percent)
+        counted = (
+            inside.unionByName(_links_across(found, copies))
+            .unionByName(copies.select("key", (F.col("copies") - 1).alias("n_links")))
+            .groupBy("key").agg(F.sum("n_links").alias("n_links"))
+        )
+    links = links.unionByName(found)
     # the groups' own links stand for the many that they came from
     stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
     groups = components(stars.unionByName(links))
@@ -493,15 +656,20 @@ def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90) ->
         "component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = named.join(smallest, "component").select("key", "component_id")
-    return rows.join(of_key, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")
-               ).alias("component_id"), "key")
+    if count_links:
+        of_key = of_key.join(counted, "key")
+    known = F.col("doc_id").isNotNull()
+    columns = ["doc_id", F.col("n").alias("n_shingles"),
+               F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), "key"]
+    if count_links:
+        columns.append(F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return rows.join(of_key, "key", "left").select(*columns)
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one row of each group of linked ones, that of the smallest id; rows
     without an id all stay."""
-    copies = linked_documents(documents, words, percent).where("doc_id <> component_id")
+    copies = linked_documents(documents, words, percent, count_links=False).where(
+        "doc_id <> component_id")
     return documents.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select(
         *documents.columns)

@@ -80,3 +80,43 @@ def test_one_of_each_keeps_columns_and_rows_without_id(documents_of):
     kept = join.one_of_each(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
+
+
+def brute_links(rows, words, percent):
+    """Of every id, the number of other ids whose shingles link with its own."""
+    sets = {}
+    for i, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        found = re.findall(r"[^\x20\x09-\x0d]+", low)
+        width = min(words, len(found))
+        sets[i] = {tuple(found[k : k + width]) for k in range(len(found) - width + 1)} if found else set()
+    counts = dict.fromkeys(sets, 0)
+    for x in sets:
+        for y in sets:
+            same = len(sets[x] & sets[y]) if x < y else 0
+            if same and 100 * same >= percent * (len(sets[x]) + len(sets[y]) - same):
+                counts[x] += 1
+                counts[y] += 1
+    return counts
+
+
+@pytest.mark.parametrize("words,percent,block,leaders,rounds", [(3, 90, 2048, 12, 1), (5, 80, 4, 1, 0)])
+def test_link_counts_equal_all_pairs(documents_of, monkeypatch, words, percent, block, leaders, rounds):
+    """Links inside a group are counted whatever leaders and hubs were checked against."""
+    monkeypatch.setattr(join, "GROUP_BLOCK", block)
+    monkeypatch.setattr(join, "LEADERS", leaders)
+    monkeypatch.setattr(join, "HUB_ROUNDS", rounds)
+    rows = corpus()
+    base = [f"v{i}" for i in range(300)]
+    for k in range(60):  # near copies, some beyond the threshold of each other
+        text = list(base)
+        for at in range(k % 7):
+            text[(37 * k + 41 * at) % 300] = f"x{k % 9}"
+        rows.append((1000 + k, " ".join(text)))
+    want = brute_links(rows, words, percent)
+    assert 0 < sum(want[i] < 59 for i in range(1000, 1060))
+    again = [rows[0], rows[-1], (None, rows[-1][1])]
+    found = join.linked_documents(documents_of(rows + again), words, percent).collect()
+    assert len(found) == len(rows) + len(again)
+    assert {r.doc_id: r.n_links for r in found if r.doc_id is not None} == want
+    assert [r.n_links for r in found if r.doc_id is None] == [0]
