@@ -153,9 +153,9 @@ class ForwardStates:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.word = vocabulary, ""
         # for each position: the id of the piece that ends there (none for an unknown character,
-        # which merges with nothing), the ids up to there, and the best sum of scores
+        # which merges with nothing), where that piece starts, and the best sum of scores
         self.last: list[int | None] = [None]
-        self.path: list[tuple[int, ...]] = [()]
+        self.start: list[int] = [0]
         self.best: list[float] = [0.0]
         # an unknown character costs more than any path of known pieces, as in the published model
         self.floor = min(vocabulary.scores.values(), default=0.0) - 10.0
@@ -166,15 +166,29 @@ class ForwardStates:
         if word.startswith(before):
             shared = len(before)
         else:
-            while word[: shared + 1] == before[: shared + 1] and shared < len(word):
+            most = min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del self.last[shared + 1 :], self.path[shared + 1 :], self.best[shared + 1 :]
+            del self.last[shared + 1 :], self.start[shared + 1 :], self.best[shared + 1 :]
         self.word = word
         (self._bpe if self.vocabulary.kind == "bpe" else self._unigram)(word, shared + 1)
-        return self.path[-1]
+        return self._ids()
+
+    def _ids(self) -> tuple[int, ...]:
+        """The word's ids, read from its end back along the pieces' starts."""
+        v, last, start, ids, end = self.vocabulary, self.last, self.start, [], len(self.word)
+        while end:
+            own = last[end]
+            if own is None:
+                ids.extend(reversed(v.char_ids(self.word[end - 1])))
+            else:
+                ids.append(own)
+            end = start[end]
+        ids.reverse()
+        return tuple(ids)
 
     def _bpe(self, word: str, begin: int) -> None:
-        v, last, path = self.vocabulary, self.last, self.path
+        v, last, start = self.vocabulary, self.last, self.start
         piece_id, separate, lengths = v.alone.get, v.stable.get, v.lengths.get
         for end in range(begin, len(word) + 1):
             for length in lengths(word[end - 3 : end] if end > 2 else word[:end], (2, 1)):
@@ -192,11 +206,11 @@ class ForwardStates:
                     if not apart:
                         continue
                 last.append(own)
-                path.append(path[end - length] + (own,))
+                start.append(end - length)
                 break
             else:
                 last.append(None)
-                path.append((*path[end - 1], *v.char_ids(word[end - 1])))
+                start.append(end - 1)
 
     def _unigram(self, word: str, begin: int) -> None:
         v, scores = self.vocabulary, self.best
@@ -213,8 +227,7 @@ class ForwardStates:
                     best, at, piece = alone, end - 1, ""
             scores.append(best)
             self.last.append(v.ids.get(piece))
-            own = (v.ids[piece],) if piece else v.char_ids(word[end - 1])
-            self.path.append((*self.path[at], *own))
+            self.start.append(at)
 
 
 class KnownWords:

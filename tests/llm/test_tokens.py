@@ -1,6 +1,7 @@
 """Both tokenisers against their libraries."""
 
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -32,6 +33,22 @@ def test_pieces_equal_the_library(spark):
     assert rows[-1].ids is None and rows[-1].n_tokens == 0
 
 
+def test_memory_of_a_word_grows_with_its_length():
+    """A long run without a space keeps a bounded state for each character."""
+    vocabulary = codec.Vocabulary.load(PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("x" * 4000, "日本語テスト\n漢字" * 400, "ⴰⵣⵓⵍ" * 1000):
+        (word,) = codec.marked_words(text)
+        codec.segment({word}, vocabulary)  # the vocabulary remembers pairs of pieces
+        tracemalloc.start()
+        found = codec.segment({word, word + "x", word[:-1]}, vocabulary)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert list(found[word]) == library.encode(text)
+        assert list(found[word + "x"]) == library.encode(text + "x")
+        assert peak < 1000 * len(word)
+
+
 def test_separate_pieces_are_what_merging_gives():
     vocabulary, rng = codec.Vocabulary.load(PIECES), random.Random(3)
     pieces = list(vocabulary.alone)
