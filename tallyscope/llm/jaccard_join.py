@@ -12,9 +12,9 @@ Set relations spare most of the work:
   with the members, not with their pairs;
 * what a set's answers are inside its group follows from its leaders', so that later only sets
   of different groups are compared; lists that hold one group are skipped whole;
-* in what is left, parts of a list are skipped where the sizes or the positions in the list rule
-  out the needed overlap, and pairs that share too few lists for it. Every pair that remains is
-  checked on its full sets.
+* in what is left, parts of a list are skipped where the sizes rule out the needed overlap, and
+  single pairs where their positions do or where they share too few lists for it. Every pair that
+  remains is checked on its full sets.
 
 So no link between sets of different groups is lost, while the pairs inside a group of thousands
 are never listed. Long lists are dealt into pairs of chunks, so that no task holds a whole one.
