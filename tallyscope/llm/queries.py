@@ -8,6 +8,7 @@ from tallyscope.llm import (
     embedding_dedup,
     jaccard_join,
     langid,
+    merkle,
     mixing,
     pii,
     quality,
@@ -63,9 +64,15 @@ def op10_language_id(spark, sf_dir):
     return langid.identified_languages(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_jaccard_join, op3_mixing, op4_embedding_dedup, op5_quality_rules,
     op6_pii, op7_token_counts, op8_toxicity, op9_warc, op10_language_id,
+    op12_merkle_manifest,
 )}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_quality_rules": quality.ORACLE,
-                          "op9_warc": warc.ORACLE}
+                          "op9_warc": warc.ORACLE,
+                          "op12_merkle_manifest": merkle.ORACLE}
