@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from tallyscope.llm import (
+    alignment,
     embedding_dedup,
     jaccard_join,
     langid,
+    lattice_lm,
     merkle,
     mixing,
     pii,
@@ -64,14 +66,22 @@ def op10_language_id(spark, sf_dir):
     return langid.identified_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark, sf_dir):
+    return lattice_lm.likelihoods(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark, sf_dir):
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_jaccard_join, op3_mixing, op4_embedding_dedup, op5_quality_rules,
     op6_pii, op7_token_counts, op8_toxicity, op9_warc, op10_language_id,
-    op12_merkle_manifest,
+    op11_lm_scores, op12_merkle_manifest, op13_alignment,
 )}
 ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_quality_rules": quality.ORACLE,
                           "op9_warc": warc.ORACLE,
