@@ -256,8 +256,9 @@ def word_counts(documents: DataFrame, training: Column) -> DataFrame:
                 if counts:
                     held.update(words)
                 else:
-                    for word in {*words} - held.keys():
-                        held[word] = 0
+                    for word in words:
+                        if word not in held:
+                            held[word] = 0
                 if len(held) > HELD_WORDS:
                     yield sent(held)
                     held = Counter()
