@@ -53,3 +53,11 @@ def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the rows that no model may learn from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with, for columns that a step adds on its way."""
+    prefix = "_"
+    while any(name.startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import WORD
+from tallyscope.llm.common import WORD, free_prefix
 from tallyscope.session import cut
 
 #: Hex digits of a key that name its range: 16 ** 3 ranges a source.
@@ -108,27 +108,38 @@ def mixed_sizes(documents: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: a row per epoch in which a document is taken, the last one cut to the
-    words that fit the budget; n_chars, where there is one, follows the text."""
-    names = documents.columns
+    words that fit the budget; n_chars, where there is one, follows the text.
+
+    Columns of any name pass through. Rows of one id, source and size may swap what is taken of
+    them, which leaves every source with its budget.
+    """
+    p = free_prefix(documents)
+    own = [p + name for name in ("id", "none", "source", "size")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # rows of one id and size are told apart by their place
-    place = Window.partitionBy("_id", "_size")
-    taken = mixed_sizes(documents).select(
-        key.alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    ).withColumn("_place", F.row_number().over(place.orderBy("_taken")))
-    rows = documents.withColumns({"_id": key, "_size": n_words()}).withColumn(
-        "_place", F.row_number().over(place.orderBy(F.xxhash64("text"))))
-    epochs = rows.join(taken.where("_taken > 0"), ["_id", "_size", "_place"]).withColumn(
-        "_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
-    some = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
+    source = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+
+    def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+        return rows.withColumn(
+            p + "place", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+
+    sized = mix(documents.select("doc_id", "source", n_words().alias("size")), ["doc_id", "source"])
+    values = [key, *source, F.col("size")]
+    taken = placed(sized.select(*(v.alias(n) for v, n in zip(values, own)),
+                                F.col("taken").alias(p + "taken")), p + "taken")
+    values[-1] = n_words()
+    rows = placed(documents.withColumns(dict(zip(own, values))), F.xxhash64("text"))
+    size, some = F.col(p + "size"), F.col(p + "some")
+    epochs = rows.join(taken.where(F.col(p + "taken") > 0), [*own, p + "place"]).withColumn(
+        p + "epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col(p + "taken") / size) - 1)))
+    left = F.col(p + "taken") - F.col(p + "epoch") * size
     # possessive, so that the longest texts need no stack
     start = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', "
-                   "cast(_some as string), '}+'), 0)")
-    cut_text = F.when(F.col("_some") == F.col("_size"), F.col("text")).otherwise(start)
-    out = epochs.withColumn("_some", some).withColumn("text", cut_text)
-    if "n_chars" in names:
+                   f"cast({p}some as string), '}}+'), 0)")
+    out = epochs.withColumn(p + "some", F.least(size, left)).withColumn(
+        "text", F.when(some == size, F.col("text")).otherwise(start))
+    if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.select(*documents.columns)
 
 
 ORACLE = r"""

@@ -65,6 +65,22 @@ def test_the_mix_holds_the_words_it_counts(documents_of):
     assert all(r.n_chars == len(r.text) for r in mixed.collect())
 
 
+def test_repeated_ids_leave_each_source_its_budget(documents_of):
+    """One id in all sources, with sizes that meet too."""
+    rows = [(k % 5, f"{s} " * (1 + k % 4), None, s) for s, n in (("a", 30), ("b", 70), (None, 20))
+            for k in range(n)]
+    df = documents_of(rows)
+    mixed = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        mixed[r.source] += len(r.text.split())
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    for source, target in targets_of(size).items():
+        assert abs(mixed[source] - target) <= 0.5
+        assert mixed[source] <= 3 * size[source]
+
+
 def test_odd_rows_and_empty(odd_documents):
     assert mixing.mixed_sizes(odd_documents).count() == odd_documents.count()
     assert mixing.mixed_documents(odd_documents).columns == odd_documents.columns
