@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import held_out, in_small_batches, pieces
+from tallyscope.llm.common import free_prefix, held_out, in_small_batches, pieces
 
 CELLS = 1 << 16
 #: Pseudo-count of every cell of a language.
@@ -162,7 +162,9 @@ def with_languages(df: DataFrame, model: LanguageModel, prefix: str = "") -> Dat
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [prefix + x for x in ("lang_pred", "score", "languages", "fit")]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = df.drop(*names).withColumn("_lettered", lettered)
+    kept = df.drop(*names)
+    helper = free_prefix(kept) + "lettered"
+    rows = kept.withColumn(helper, lettered)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -170,7 +172,7 @@ def with_languages(df: DataFrame, model: LanguageModel, prefix: str = "") -> Dat
             texts = batch.column("text").to_pylist()
             found, scores, mixes = [], [], []
             shares, fits = model.mixtures(texts)
-            for sure, row in zip(batch.column("_lettered").to_pylist(), shares, strict=True):
+            for sure, row in zip(batch.column(helper).to_pylist(), shares, strict=True):
                 top = [i for i in np.argsort(-row, kind="stable") if row[i] > 0] if sure else []
                 found.append(model.languages[top[0]] if top else UNKNOWN)
                 scores.append(min(1.0, float(row[top[0]])) if top else 0.0)
@@ -182,7 +184,7 @@ def with_languages(df: DataFrame, model: LanguageModel, prefix: str = "") -> Dat
 
     kinds = [T.StringType(), T.DoubleType(), T.StringType(), T.DoubleType()]
     schema = T.StructType([*rows.schema, *map(T.StructField, names, kinds)])
-    return in_small_batches(rows).mapInArrow(predict, schema).drop("_lettered")
+    return in_small_batches(rows).mapInArrow(predict, schema).drop(helper)
 
 
 def identified_languages(documents: DataFrame) -> DataFrame:
@@ -194,6 +196,7 @@ def identified_languages(documents: DataFrame) -> DataFrame:
 
 def in_a_language(documents: DataFrame) -> DataFrame:
     """The documents that a mixture of learned languages explains better than noise does."""
-    found = with_languages(documents, LanguageModel.learn(documents), "_")
-    accepted = (F.col("_lang_pred") != UNKNOWN) & (F.col("_fit") > 0)
+    prefix = free_prefix(documents)
+    found = with_languages(documents, LanguageModel.learn(documents), prefix)
+    accepted = (F.col(prefix + "lang_pred") != UNKNOWN) & (F.col(prefix + "fit") > 0)
     return found.where(accepted).select(*documents.columns)

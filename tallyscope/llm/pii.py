@@ -293,7 +293,9 @@ def masked(documents: DataFrame) -> DataFrame:
     Overlapping spans of several kinds become one mask, named after the one that starts first.
     """
     columns = documents.columns
-    found = with_spans(documents, learn(documents))
+    # the row is packed, so that its columns can have any names
+    row = F.struct(*columns).alias("row")
+    found = with_spans(documents.select("text", row), learn(documents.select("text")))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     body = F.col("text")
 
@@ -315,8 +317,9 @@ def masked(documents: DataFrame) -> DataFrame:
         c["s"].alias("s"), (-c["e"]).alias("_e"), c["e"].alias("e"), c["kind"].alias("kind"))))
     text = F.when(F.size("_spans") > 0, put(ordered)).otherwise(body)
     out = found.withColumn("text", text)
+    new = {c: F.col("row").getField(c) for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(
+            new["n_chars"])
+    return out.select(*(value.alias(c) for c, value in new.items()))

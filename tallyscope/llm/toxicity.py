@@ -273,7 +273,7 @@ def taught_texts(documents: DataFrame, labels: DataFrame, per_class: int = PER_C
 
     chosen = some(1, per_class).unionByName(some(0, per_class * CLEAN_PER_TOXIC))
     # at most per_class * (1 + CLEAN_PER_TOXIC) ids
-    return documents.join(F.broadcast(chosen), "doc_id").where(
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(
         F.length("text") <= LONGEST_TAUGHT).select("doc_id", "text", "toxic")
 
 
