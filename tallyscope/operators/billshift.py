@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.isolation import SUBSAMPLE, TREES, grow, score as anomaly_score
 from tallyscope.functions.columns import in_series, is_debit
+from tallyscope.operators.base import day_cells
 from tallyscope.operators.quantile import exact_quantile
 from tallyscope.schemas import BILLS
 from tallyscope.session import cut
@@ -29,7 +30,9 @@ SERIES = ["customer_id", "recurring_group_id"]
 
 
 def bills(txns: DataFrame) -> DataFrame:
-    return txns.where(is_debit() & F.col("merchant_category").isin(BILLS) & in_series())
+    """Day cells of utility and rent series."""
+    return day_cells(txns).where(
+        is_debit() & F.col("merchant_category").isin(BILLS) & in_series())
 
 
 def series_drift(txns: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def series_drift(txns: DataFrame) -> DataFrame:
     Rows are first counted per day. Rows of one day share their day of month, so the halves
     can be cut from running counts and a series costs at most one row per calendar day.
     """
-    days = bills(txns).groupBy(*SERIES, "date").agg(F.count(F.lit(1)).alias("n"))
+    days = bills(txns).groupBy(*SERIES, "date").agg(F.sum("rows").alias("n"))
     whole = Window.partitionBy(*SERIES)
     before = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     early = F.greatest(
@@ -139,12 +142,12 @@ def series_scores(
     drift = cut(series_drift(txns)) if drift is None else drift
     drifting = drift.where(F.col("drift") > MIN_DRIFT).drop("drift")
     points = bills(txns).select(*SERIES, "date", F.dayofmonth("date").alias("day"),
-                                F.col("amount").cast("double").alias("amount"))
+                                F.col("amount").cast("double").alias("amount"), "rows")
     # forests cost far more time than bytes, so small groups must not be merged into one task
     parallel = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cut(
         points.join(drifting, SERIES)
-        .groupBy(*SERIES, "date", "day", "amount", "payments").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*SERIES, "date", "day", "amount", "payments").agg(F.sum("rows").alias("n"))
     )
     chunks = F.ceil(F.col("payments") / chunk_rows).cast("int")
     dealt = cells.withColumn("chunk", F.pmod(F.xxhash64("date", "amount"), chunks).cast("int"))

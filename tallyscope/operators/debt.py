@@ -10,17 +10,16 @@ from tallyscope.functions.columns import (
     in_series,
     is_debit,
     middle,
-    month_index,
     ratio,
     safe_divide,
     spread_of,
     trend_over_mean,
 )
+from tallyscope.operators.base import activity_cells
 from tallyscope.operators.monthly import customer_profile, tail
 
 MIN_PAYMENTS = 3
 MAX_AMOUNT_CV = 0.10
-ON_TIME_DAY = 5
 
 
 def recurring_series(txns: DataFrame) -> DataFrame:
@@ -30,14 +29,13 @@ def recurring_series(txns: DataFrame) -> DataFrame:
     map-side before it meets in one place; the array has one entry per calendar month.
     """
     monthly = (
-        txns.where(is_debit() & in_series())
-        .groupBy("customer_id", "recurring_group_id",
-                 month_index(F.col("date")).alias("month_idx"))
+        activity_cells(txns).where(is_debit() & in_series())
+        .groupBy("customer_id", "recurring_group_id", "month_idx")
         .agg(
-            F.count(F.lit(1)).alias("payments"),
-            F.sum("amount").alias("paid"),
-            F.sum(F.col("amount") * F.col("amount")).alias("squares"),
-            F.count_if(F.dayofmonth("date") <= ON_TIME_DAY).alias("on_time"),
+            F.sum("rows").alias("payments"),
+            F.sum("amount").cast("decimal(28,2)").alias("paid"),
+            F.sum("squares").alias("squares"),
+            F.sum("on_time").alias("on_time"),
         )
     )
     series = monthly.groupBy("customer_id", "recurring_group_id").agg(

@@ -14,6 +14,7 @@ from tallyscope.functions.columns import (
     safe_divide,
     trend_over_mean,
 )
+from tallyscope.operators.base import activity_cells
 from tallyscope.operators.monthly import customer_profile
 
 
@@ -24,7 +25,7 @@ def income_sources(txns: DataFrame) -> DataFrame:
     (customer, category), so a customer with many rows stays spread out.
     """
     return (
-        txns.where(is_credit())
+        activity_cells(txns).where(is_credit())
         .groupBy("customer_id")
         .agg(F.count_distinct("category").alias("num_income_sources"))
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.columns import is_credit, is_debit, money, month_index, month_start
+from tallyscope.functions.columns import is_credit, is_debit, money, month_start
+from tallyscope.operators.base import activity_cells
 
 
 def monthly_activity(txns: DataFrame) -> DataFrame:
@@ -16,12 +17,16 @@ def monthly_activity(txns: DataFrame) -> DataFrame:
     customer, month and task, so a customer with very many rows does not form a hot partition.
     """
     salary = is_credit() & (F.col("merchant_category") == "salary")
-    return txns.groupBy("customer_id", month_index(F.col("date")).alias("month_idx")).agg(
-        F.sum(F.when(is_credit(), F.col("amount"))).alias("credits"),
-        F.sum(F.when(is_debit(), F.col("amount"))).alias("debits"),
-        F.sum(F.when(salary, F.col("amount"))).alias("salary"),
-        F.min(F.when(salary, F.col("date"))).alias("first_salary"),
-        F.max("date").alias("last_date"),
+
+    def total(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("amount"))).cast("decimal(28,2)")
+
+    return activity_cells(txns).groupBy("customer_id", "month_idx").agg(
+        total(is_credit()).alias("credits"),
+        total(is_debit()).alias("debits"),
+        total(salary).alias("salary"),
+        F.min(F.when(salary, F.col("first_date"))).alias("first_salary"),
+        F.max("last_date").alias("last_date"),
     )
 
 

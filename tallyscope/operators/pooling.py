@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.columns import is_credit, is_debit, ratio
+from tallyscope.operators.base import INVESTMENT, day_cells
 from tallyscope.operators.monthly import customer_profile
 from tallyscope.operators.quantile import exact_quantile
 
@@ -16,8 +17,9 @@ BUCKET = 10_000
 
 
 def median_amount(txns: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    return exact_quantile(txns.select("customer_id", "amount"), ["customer_id"], "amount", 0.5,
-                          BUCKET, "median_amount", wanted)
+    cells = day_cells(txns).select("customer_id", "amount", "rows")
+    return exact_quantile(cells, ["customer_id"], "amount", 0.5, BUCKET, "median_amount", wanted,
+                          weight="rows")
 
 
 def open_maturities(txns: DataFrame) -> DataFrame:
@@ -27,11 +29,11 @@ def open_maturities(txns: DataFrame) -> DataFrame:
     largest credit is significant. The day-range frame then replaces the unequal-range join.
     """
     days = (
-        txns.where(F.col("merchant_category") == "investment")
+        day_cells(txns).where(F.col("merchant_category") == INVESTMENT)
         .groupBy("customer_id", "date")
         .agg(
             F.max(F.when(is_credit(), F.col("amount"))).alias("largest"),
-            F.count_if(is_debit()).alias("reinvested"),
+            F.sum(F.when(is_debit(), F.col("rows")).otherwise(0)).alias("reinvested"),
         )
     )
     ahead = (

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.columns import completeness
+from tallyscope.operators.base import Base
 from tallyscope.operators.billshift import bill_scores, bill_shift_columns
 from tallyscope.operators.cashflow import cashflow_columns
 from tallyscope.operators.debt import debt_columns, emi_totals
@@ -16,22 +18,28 @@ from tallyscope.operators.income import income_columns, income_sources
 from tallyscope.operators.monthly import customer_profile
 from tallyscope.operators.pooling import first_open_maturity, pooling_columns
 from tallyscope.operators.subscription import series_ends, subscription_columns
-from tallyscope.schemas import FEATURE_NAMES, FEATURE_SCHEMA_VERSION, RATIO_FEATURES
+from tallyscope.schemas import FEATURE_NAMES, FEATURE_RUNS, FEATURE_SCHEMA_VERSION, RATIO_FEATURES
+from tallyscope.session import staged
 
 KEY = ["customer_id", "feature_name", "computed_at"]
+#: Characters of a failed group's message that its outcome row keeps.
+MESSAGE_CHARS = 500
 
 # group -> (extra one-row-per-customer input or None, columns, data completeness)
 FeatureGroup = tuple[
-    Callable[[DataFrame], DataFrame] | None, Callable[[], dict[str, Column]], Callable[[], Column]
+    Callable[[Base], DataFrame] | None, Callable[[], dict[str, Column]], Callable[[], Column]
 ]
 ALL_DATA = lambda: F.lit(1.0)
 FEATURE_FUNCTIONS: dict[str, FeatureGroup] = {
-    "income": (income_sources, income_columns, lambda: completeness(F.col("active_months"))),
+    "income": (lambda b: income_sources(b.activity), income_columns,
+               lambda: completeness(F.col("active_months"))),
     "cashflow": (None, cashflow_columns, lambda: completeness(F.col("span"))),
-    "debt": (emi_totals, debt_columns, lambda: completeness(F.col("active_months"))),
-    "subscription_cleansing": (series_ends, subscription_columns, ALL_DATA),
-    "liquidity_pooling": (first_open_maturity, pooling_columns, ALL_DATA),
-    "bill_shift": (bill_scores, bill_shift_columns, ALL_DATA),
+    "debt": (lambda b: emi_totals(b.activity), debt_columns,
+             lambda: completeness(F.col("active_months"))),
+    "subscription_cleansing": (lambda b: series_ends(b.activity), subscription_columns,
+                               ALL_DATA),
+    "liquidity_pooling": (lambda b: first_open_maturity(b.days), pooling_columns, ALL_DATA),
+    "bill_shift": (lambda b: bill_scores(b.days), bill_shift_columns, ALL_DATA),
 }
 
 
@@ -50,17 +58,25 @@ def feature_groups(max_income_cv: float | None = None) -> dict[str, FeatureGroup
     return groups
 
 
-def features_wide(txns: DataFrame, groups: dict[str, FeatureGroup] | None = None) -> DataFrame:
+def features_wide(
+    txns: DataFrame | Base, groups: dict[str, FeatureGroup] | None = None
+) -> DataFrame:
     """All features of all customers, one row each, plus one completeness column per group.
 
-    Every input is already one row per customer and hashed by customer, so the joins add no
+    The raw transactions are read when this is called, once per base table that the groups need,
+    and not again when the result is. Every input is already one row per customer and hashed by customer, so the joins add no
     exchange and cannot be skewed by a customer with many transactions.
     """
     groups = feature_groups() if groups is None else groups
-    wide = customer_profile(txns)
+    base = txns if isinstance(txns, Base) else Base(txns)
+    return _wide(customer_profile(base.activity), base, groups)
+
+
+def _wide(profile: DataFrame, base: Base, groups: dict[str, FeatureGroup]) -> DataFrame:
+    wide = profile
     for inputs, _, _ in groups.values():
         if inputs is not None:
-            wide = wide.join(inputs(txns), "customer_id", "left")
+            wide = wide.join(inputs(base), "customer_id", "left")
     columns = []
     for name, (_, features, complete) in groups.items():
         columns += [value.alias(feature) for feature, value in features().items()]
@@ -94,12 +110,39 @@ def to_long(wide: DataFrame, groups: dict[str, FeatureGroup], computed_at: dt.da
 
 
 def features_long(
-    txns: DataFrame, computed_at: dt.date, groups: dict[str, FeatureGroup] | None = None
+    txns: DataFrame | Base, computed_at: dt.date, groups: dict[str, FeatureGroup] | None = None
 ) -> DataFrame:
     groups = feature_groups() if groups is None else groups
     return to_long(features_wide(txns, groups), groups, computed_at)
 
 
+def features_by_group(
+    txns: DataFrame | Base, computed_at: dt.date, groups: dict[str, FeatureGroup] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The long features of every group that could be computed, and an outcome row per group:
+    group_name, state (stored or failed), features, message, computed_at.
+
+    Each group is a job of its own over the base tables and the profile, which are written once,
+    so a group that fails, while its plan is built or while it runs, leaves the others whole.
+    """
+    groups = feature_groups() if groups is None else groups
+    base = txns if isinstance(txns, Base) else Base(txns)
+    profile = staged(customer_profile(base.activity), "profile")
+    done, outcomes = [], []
+    for name, group in groups.items():
+        one = {name: group}
+        try:
+            rows = staged(to_long(_wide(profile, base, one), one, computed_at), f"group-{name}")
+            outcomes.append((name, "stored", rows.count(), None, computed_at))
+            done.append(rows)
+        except Exception as failure:  # whatever a group's code raises is its outcome
+            outcomes.append((name, "failed", 0, str(failure)[:MESSAGE_CHARS], computed_at))
+    if not done:
+        raise RuntimeError(f"all feature groups failed: {outcomes}")
+    spark = profile.sparkSession
+    return reduce(DataFrame.unionByName, done), spark.createDataFrame(outcomes, FEATURE_RUNS)
+
+
 def merge_features(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace stored rows of the same key; stored rows without a new one stay."""
     kept = existing.join(new.select(*KEY), KEY, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.columns import in_series, is_debit, ratio, spread_of
+from tallyscope.operators.base import activity_cells
 from tallyscope.operators.monthly import customer_profile
 from tallyscope.schemas import DISCRETIONARY
 
@@ -25,9 +26,10 @@ def series_ends(txns: DataFrame) -> DataFrame:
     find any such run, so the two-step look-ahead works on a bounded number of rows.
     """
     series = (
-        txns.where(is_debit() & in_series() & F.col("merchant_category").isin(DISCRETIONARY))
+        activity_cells(txns)
+        .where(is_debit() & in_series() & F.col("merchant_category").isin(DISCRETIONARY))
         .groupBy("customer_id", "recurring_group_id")
-        .agg(F.count(F.lit(1)).alias("payments"), F.max("date").alias("ended"))
+        .agg(F.sum("rows").alias("payments"), F.max("last_date").alias("ended"))
         .where(F.col("payments") >= MIN_PAYMENTS)
     )
     days = series.groupBy("customer_id", "ended").agg(F.count(F.lit(1)).alias("n"))

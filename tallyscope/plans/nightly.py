@@ -1,4 +1,4 @@
-"""The feature job: all customers and groups in one plan, merged into one day's partition."""
+"""The feature job: base tables, then group by group, merged into one day's partition."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.operators import store
-from tallyscope.schemas import FEATURES, TRANSACTIONS
-from tallyscope.session import cut
+from tallyscope.schemas import FEATURE_RUNS, FEATURES, TRANSACTIONS
 from tallyscope.sources import tables
 
 
@@ -17,20 +16,23 @@ def run_nightly(
     spark: SparkSession, root: str, computed_at: dt.date | None = None,
     groups: dict[str, store.FeatureGroup] | None = None,
 ) -> dict[str, int]:
-    """Compute and store features; returns counts of customers, features and warnings.
+    """Compute and store features; returns counts of customers, features, warnings and groups
+    that failed.
 
-    Safe to run again on the same day. The features are materialised once and then both
-    written and counted.
+    Safe to run again on the same day. A failing group leaves the others stored; the outcome of
+    every group is added to the table ``feature_runs`` after the features are stored.
     """
     computed_at = computed_at or dt.date.today()
     txns = tables.read(spark, root, "transactions", TRANSACTIONS)
-    features = cut(store.features_long(txns, computed_at, groups))
+    features, outcomes = store.features_by_group(txns, computed_at, groups)
     tables.write_features(features, root, computed_at)
+    tables.append(outcomes, root, "feature_runs", FEATURE_RUNS)
     counts = features.agg(
         F.count_distinct("customer_id").alias("customers"),
         F.count(F.lit(1)).alias("features"),
     ).first()
-    return {**counts.asDict(), "warnings": store.feature_warnings(features).count()}
+    return {**counts.asDict(), "warnings": store.feature_warnings(features).count(),
+            "failed_groups": outcomes.where("state = 'failed'").count()}
 
 
 def load_vectors(

@@ -45,6 +45,14 @@ LABELS = _table(
     ("converted", T.BooleanType()),
 )
 
+FEATURE_RUNS = _table(
+    ("group_name", T.StringType()),
+    ("state", T.StringType()),
+    ("features", T.LongType()),
+    ("message", T.StringType()),
+    ("computed_at", T.DateType()),
+)
+
 INGESTION_LOG = _table(
     ("filename", T.StringType()),
     ("row_count", T.LongType()),

@@ -3,10 +3,18 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope.operators import store
+from tallyscope.operators.base import Base, combined_activity, combined_days
+from tallyscope.operators.billshift import series_drift
+from tallyscope.operators.debt import emi_totals
+from tallyscope.operators.income import income_sources
+from tallyscope.operators.monthly import customer_profile
+from tallyscope.operators.pooling import open_maturities
+from tallyscope.operators.subscription import series_ends
 from tallyscope.plans import nightly
-from tallyscope.schemas import FEATURE_NAMES, FEATURES
+from tallyscope.schemas import FEATURE_NAMES, FEATURE_RUNS, FEATURES, TRANSACTIONS
 from tallyscope.sources import tables
 from test_features import EXPECTED, worked_example
 
@@ -32,7 +40,7 @@ def test_nightly_twice_keeps_the_row_count(spark, make_txns, tmp_path):
     tables.append_transactions(make_txns(worked_example()), root)
     for _ in range(2):
         counts = nightly.run_nightly(spark, root, DAY)
-        assert counts == {"customers": 1, "features": 20, "warnings": 0}
+        assert counts == {"customers": 1, "features": 20, "warnings": 0, "failed_groups": 0}
         stored = tables.read(spark, root, "features", FEATURES)
         assert stored.count() == 20
     nightly.run_nightly(spark, root, dt.date(2024, 5, 2))
@@ -45,6 +53,62 @@ def test_nightly_twice_keeps_the_row_count(spark, make_txns, tmp_path):
         nightly.load_vectors(spark, root, customer_id="nobody")
 
 
+def test_a_failing_group_leaves_the_others_stored(spark, make_txns, tmp_path):
+    root = str(tmp_path)
+    tables.append_transactions(make_txns(worked_example()), root)
+
+    def broken(base):
+        raise ZeroDivisionError("no such column")
+
+    late = F.raise_error(F.lit("at run time"))
+    groups = store.feature_groups()
+    groups["debt"] = (broken, *groups["debt"][1:])
+    groups["income"] = (groups["income"][0], lambda: {"income_growth_pct": late.cast("double")},
+                        store.ALL_DATA)
+    counts = nightly.run_nightly(spark, root, DAY, groups)
+    assert counts == {"customers": 1, "features": 11, "warnings": 0, "failed_groups": 2}
+    stored = tables.read(spark, root, "features", FEATURES)
+    assert {r["feature_name"] for r in stored.collect()}.isdisjoint({"current_dti", "income_growth_pct"})
+    runs = {r["group_name"]: r for r in tables.read(spark, root, "feature_runs", FEATURE_RUNS).collect()}
+    assert runs["debt"]["state"] == runs["income"]["state"] == "failed"
+    assert "no such column" in runs["debt"]["message"] and "at run time" in runs["income"]["message"]
+    assert runs["cashflow"]["features"] == 5 and runs["cashflow"]["message"] is None
+    with pytest.raises(RuntimeError):
+        nightly.run_nightly(spark, root, DAY, {"debt": groups["debt"]})
+
+
+def test_the_raw_table_is_read_twice_at_most(spark, make_txns, tmp_path):
+    """Once written, the base tables are all that the features' plan reads."""
+    root = str(tmp_path)
+    tables.append_transactions(make_txns(worked_example()), root)
+    txns = tables.read(spark, root, "transactions", TRANSACTIONS)
+    features = store.features_long(txns, DAY)
+    assert not [f for f in features.inputFiles() if "/transactions/" in f]
+    base = Base(txns)
+    for cells in (combined_activity(txns), combined_days(txns)):
+        plan = cells._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("FileScan") == 1
+    again = store.features_long(base, DAY)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, features.collect()))
+
+
+def unordered(df):
+    """Rows as text, with collected lists in order: their order isn't part of a result."""
+    return sorted(str([sorted(map(str, v)) if isinstance(v, list) else v for v in r])
+                  for r in df.collect())
+
+
+def test_combined_cells_give_the_features_of_the_rows(make_txns):
+    """Equal payments of a day and month fall into one cell and count as often as they occur."""
+    rows = [r for r in worked_example() for _ in range(3)]
+    txns = make_txns(rows)
+    assert combined_days(txns).count() < len(rows) and combined_activity(txns).count() < len(rows)
+    for operator, cells in ((customer_profile, combined_activity), (emi_totals, combined_activity),
+                            (series_ends, combined_activity), (income_sources, combined_activity),
+                            (open_maturities, combined_days), (series_drift, combined_days)):
+        assert unordered(operator(cells(txns))) == unordered(operator(txns))
+
+
 def test_rerun_without_a_value_keeps_the_stored_row(history, spark):
     new = spark.createDataFrame([row("c1", "current_dti", 0.9, "2024-01-01")], FEATURES)
     first_day = history.where("computed_at = '2024-01-01'")
