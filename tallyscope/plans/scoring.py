@@ -91,7 +91,8 @@ def score_records(spark: SparkSession, root: str, product: str = "home_loan") ->
     gated, vectors = gated_customers(spark, root, product)
     path = f"{root}/models/intent_{product}"
     model = load_intent(spark, path)
-    reasons = explain.explain(spark, vectors, model.names, f"{path}/base", model.base)
+    base = f"{artifacts.latest(spark, path)}/base"
+    reasons = explain.explain(spark, vectors, model.names, base, model.base)
     return leads.score_envelope(gated, reasons, MODEL_VERSION)
 
 
