@@ -30,9 +30,7 @@ def _log(checked: DataFrame, root: str, path: str) -> None:
 def ingest_customers(spark: SparkSession, root: str, path: str, multiline: bool = False) -> None:
     """Last row of a customer wins, within the file and over the stored table."""
     checked = staged(op.check_customers(read_csv(spark, path, CUSTOMERS, multiline)))
-    stored = tables.read_snapshot(spark, root, "customers", CUSTOMERS)
-    merged = op.last_wins(op.accepted(checked), ["customer_id"], stored)
-    tables.write_snapshot(merged, root, "customers", CUSTOMERS)
+    tables.upsert(op.accepted(checked), ["customer_id"], root, "customers", CUSTOMERS)
     _log(checked, root, path)
 
 
@@ -57,9 +55,7 @@ def ingest_labels(
 ) -> None:
     """Last label of a customer and product wins."""
     checked = staged(op.check_labels(read_csv(spark, path, LABELS, multiline), products))
-    stored = tables.read_snapshot(spark, root, "labels", LABELS)
-    merged = op.last_wins(op.accepted(checked), ["customer_id", "product"], stored)
-    tables.write_snapshot(merged, root, "labels", LABELS)
+    tables.upsert(op.accepted(checked), ["customer_id", "product"], root, "labels", LABELS)
     _log(checked, root, path)
 
 

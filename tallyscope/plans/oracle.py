@@ -405,6 +405,13 @@ docs AS (
   FROM labels JOIN documents USING (doc_id)
 )"""
 
+UPSERTED = """
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, coalesce(o.name, c_name) AS name
+FROM customer LEFT JOIN (
+  SELECT o_custkey, 'order ' || CAST(o_orderkey AS VARCHAR) AS name,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn
+  FROM orders) o ON c_custkey = o_custkey AND rn = 1"""
+
 ORACLE: dict[str, str] = {
     "txn_canonical": with_(TXNS) + """
 SELECT customer_id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount, category,
@@ -435,12 +442,8 @@ SELECT transaction_id, customer_id, min(recurring_group_id_) AS recurring_group_
     AND transaction_id NOT IN (SELECT transaction_id FROM checked
                                WHERE error_count = 0 AND date < '1996-01-01'))
 GROUP BY transaction_id, customer_id""",
-    "upsert_last_wins": """
-SELECT CAST(c_custkey AS VARCHAR) AS customer_id, coalesce(o.name, c_name) AS name
-FROM customer LEFT JOIN (
-  SELECT o_custkey, 'order ' || CAST(o_orderkey AS VARCHAR) AS name,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn
-  FROM orders) o ON c_custkey = o_custkey AND rn = 1""",
+    "upsert_last_wins": UPSERTED,
+    "upsert_buckets": UPSERTED,
     "customer_checks": """
 SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name, c_mktsegment AS occupation,
        CASE WHEN c_acctbal >= 0 THEN CAST(c_nationkey AS INTEGER) END AS employer_tenure_months,
@@ -496,6 +499,34 @@ FROM drifts GROUP BY customer_id HAVING sum(n) >= 6""",
         unpivoted("subs", SUB_NAMES, "2002-01-01", "1.0"),
         unpivoted("pool", POOL_NAMES, "2002-01-01", "1.0"),
     ]),
+    "nightly_outcomes": with_(TXNS, cash(), pay(), DEBT, SUBS, POOL) + " UNION ALL ".join([
+        f"SELECT '{group}' AS group_name, 'stored' AS state, count(*) AS features FROM ("
+        + unpivoted(view, names, "2002-01-01", *complete) + ")"
+        for group, view, names, *complete in [
+            ("income", "pay", INCOME_NAMES), ("cashflow", "cash", CASH_NAMES),
+            ("debt", "debt", DEBT_NAMES), ("subscription_cleansing", "subs", SUB_NAMES, "1.0"),
+            ("liquidity_pooling", "pool", POOL_NAMES, "1.0")]
+    ]),
+    "forest_quantiles_of_leaves": """
+WITH trees AS (SELECT unnest(range(7)) AS tree),
+fitted AS (
+  SELECT tree, (l_suppkey + tree * l_linenumber) % 4 AS leaf, CAST(l_quantity AS DOUBLE) AS target
+  FROM lineitem, trees WHERE l_linenumber <= 7
+), shares AS (
+  SELECT tree, leaf, target, count(*) / sum(count(*)) OVER (PARTITION BY tree, leaf) / 7 AS w
+  FROM fitted GROUP BY tree, leaf, target
+), pooled AS (
+  SELECT f AS first, target, sum(sum(w)) OVER (PARTITION BY f ORDER BY target) AS reached
+  FROM (SELECT unnest(range(4)) AS f), shares WHERE leaf = (f + tree) % 4
+  GROUP BY f, target
+), found AS (
+  SELECT first, min(target) FILTER (reached >= 0.1 - 1e-9) AS q10,
+         min(target) FILTER (reached >= 0.5 - 1e-9) AS q50,
+         min(target) FILTER (reached >= 0.9 - 1e-9) AS q90
+  FROM pooled GROUP BY first
+)
+SELECT CAST(o_orderkey AS VARCHAR) AS customer_id, q10, q50, q90
+FROM orders JOIN found ON o_custkey % 4 = first""",
     "features_asof": "WITH " + HISTORY + """
 SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value,
        max(computed_at) AS computed_at

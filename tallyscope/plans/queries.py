@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyscope.operators import (
     audit,
@@ -29,6 +30,7 @@ from tallyscope.operators import (
 )
 from tallyscope.schemas import MODEL_VERSION, THRESHOLDS
 from tallyscope.session import cut, scratch_path, staged
+from tallyscope.sources import artifacts, tables
 from tallyscope.sources import testtables as tt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +145,23 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.last_wins(updates, ["customer_id"], stored)
 
 
+@query
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same customers and renames as two loads of a bucketed table, read back from it."""
+    root = scratch_path(spark, "upserted")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("customer_id", "name")])
+    first = tt.customers(spark, sf_dir).select(
+        "customer_id", "name", F.struct(F.lit(0).alias("load")).alias("seq"))
+    renames = tt.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
+        F.struct("o_orderdate", "o_orderkey").alias("seq"),
+    )
+    for load in (first, renames):
+        tables.upsert(load, ["customer_id"], root, "customers", schema)
+    return tables.read_buckets(spark, root, "customers", schema)
+
+
 @query
 def customer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer rows as text, with blank and broken integer cells."""
@@ -249,6 +268,13 @@ def nightly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def nightly_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of a nightly run that SQL can check, one by one: what each of them stored."""
+    _, outcomes = store.features_by_group(tt.transactions(spark, sf_dir), LATE, groups(*EXACT))
+    return outcomes.select("group_name", "state", "features")
+
+
 def feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features as two runs would have left them: one at the start of 1999, one at the end."""
     txns = tt.transactions(spark, sf_dir)
@@ -568,7 +594,7 @@ def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = intent_path(spark, sf_dir)
     model = intent.load_intent(spark, path)
     codes = explain.explain(
-        spark, trained_vectors(spark, sf_dir), model.names, f"{path}/base", model.base)
+        spark, trained_vectors(spark, sf_dir), model.names, f"{artifacts.latest(spark, path)}/base", model.base)
     return codes.select("customer_id", F.inline("reason_codes"))
 
 
@@ -610,7 +636,7 @@ def model_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = intent_path(spark, sf_dir)
     model = intent.load_intent(spark, path)
     reasons = explain.explain(
-        spark, trained_vectors(spark, sf_dir), model.names, f"{path}/base", model.base)
+        spark, trained_vectors(spark, sf_dir), model.names, f"{artifacts.latest(spark, path)}/base", model.base)
     records = leads.score_envelope(model_scored(spark, sf_dir), reasons, MODEL_VERSION)
     return records.select("customer_id", F.to_json(F.struct(*records.columns)).alias("record"))
 
@@ -636,6 +662,23 @@ def confidence_of_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
                        capacity.interval_confidence().alias("capacity_confidence"))
 
 
+@query
+def forest_quantiles_of_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled quantiles over given leaves: line items are the training rows of seven trees of four
+    leaves, one tree per line number, with their quantities as targets; orders are scored."""
+    trees, leaves = 7, 4
+    lines = tt.table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= trees)
+    fitted = lines.select(F.col("l_quantity").cast("double").alias("target"), F.array(*[
+        (F.col("l_suppkey") + t * F.col("l_linenumber")) % leaves for t in range(trees)]).alias("leaf"))
+    # all different quantities, at most fifty
+    grid = sorted(r[0] for r in fitted.select("target").distinct().collect())
+    rows = capacity.leaf_weights(fitted, grid).collect()
+    orders = tt.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("customer_id"),
+        F.array(*[(F.col("o_custkey") + t) % leaves for t in range(trees)]).alias("leaf"))
+    return capacity.pooled_quantiles(orders, capacity.LeafWeights.of_rows([tuple(r) for r in rows]))
+
+
 @query
 def scores_of_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.scores_of(order_numbers(spark, sf_dir))

@@ -212,3 +212,44 @@ def test_each_file_is_read_by_its_own_header(spark, write, tmp_path):
         ingest.check_transactions(raw), files=source_files(spark, str(tmp_path))).collect()
     counts = {r.filename.rpartition("/")[2]: (r.row_count, r.rows_accepted, r.rows_rejected) for r in log}
     assert counts == {"a.csv": (2, 2, 0), "b.csv": (1, 1, 0), "c.csv": (1, 0, 1), "d.csv": (0, 0, 0)}
+
+
+def test_a_small_load_rewrites_only_its_buckets(spark, tmp_path):
+    root, schema = str(tmp_path), "customer_id string, name string"
+    fields = spark.createDataFrame([], schema).schema
+
+    def load(rows):
+        df = spark.createDataFrame(rows, schema + ", seq int")
+        tables.upsert(df, ["customer_id"], root, "people", fields, buckets=16)
+
+    def stored():
+        return {r.customer_id: r.name for r in tables.read_snapshot(spark, root, "people", fields).collect()}
+
+    def files():
+        return {str(p) for p in (tmp_path / "people/data").rglob("*.parquet")}
+
+    load([(f"c{i}", "old", 0) for i in range(500)])
+    before = files()
+    load([("c1", "first", 1), ("c1", "last", 2), ("new", "n", 1), (None, "no id", 0)])
+    want = {f"c{i}": "old" for i in range(500)} | {"c1": "last", "new": "n", None: "no id"}
+    assert stored() == want
+    fresh = files() - before
+    assert before <= files() and 1 <= len({f.split("bucket=")[1].split("/")[0] for f in fresh}) <= 3
+    # a load that dies before its manifest is not seen, and the next one replaces it
+    spark.createDataFrame([("c2", "torn")], schema).write.parquet(
+        f"{root}/people/data/version_3/bucket=0")
+    assert stored() == want
+    load([("c2", "whole", 5)])
+    assert stored() == want | {"c2": "whole"}
+    load([])
+    assert stored() == want | {"c2": "whole"}
+
+
+def test_a_snapshot_table_becomes_a_bucketed_one(spark, tmp_path):
+    root, schema = str(tmp_path), "customer_id string, name string"
+    old = spark.createDataFrame([("a", "1"), ("b", "1")], schema)
+    tables.write_snapshot(old, root, "people", old.schema)
+    new = spark.createDataFrame([("b", "2", 0), ("c", "2", 0)], schema + ", seq int")
+    tables.upsert(new, ["customer_id"], root, "people", old.schema)
+    rows = tables.read_snapshot(spark, root, "people", old.schema).collect()
+    assert sorted(map(tuple, rows)) == [("a", "1"), ("b", "2"), ("c", "2")]
