@@ -47,9 +47,9 @@ ROUNDS = 3
 FREQUENT = 1 << 16
 FREQUENT_BYTES = 64
 #: Distinct words that a task counts before it sends them; bounds memory only.
-HELD_WORDS = 300_000
+HELD_WORDS = 200_000
 #: Bytes of distinct words that are scored together; bounds memory only.
-STEP_BYTES = 500_000
+STEP_BYTES = 100_000
 NEVER = -np.inf
 
 
