@@ -419,6 +419,12 @@ SELECT customer_id, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amo
     "ingest_accept": with_(RAW) + """
 SELECT transaction_id, customer_id, date, CAST(amount AS DOUBLE) AS amount, category, type,
        merchant_category, recurring_group_id FROM checked WHERE error_count = 0""",
+    "csv_accept": with_(RAW) + """
+SELECT transaction_id, customer_id, date, CAST(amount AS DOUBLE) AS amount, category, type,
+       merchant_category, recurring_group_id FROM checked WHERE error_count = 0""",
+    "stream_ingest": with_(RAW) + """
+SELECT transaction_id, 1 AS copies, max(customer_id) AS customer_id, 0 AS replayed
+FROM checked WHERE error_count = 0 GROUP BY transaction_id""",
     "ingest_reject": with_(RAW) + """
 SELECT customer_id, type, CAST(error_count AS INTEGER) AS error_count, reason FROM reasons""",
     "ingest_log": with_(RAW) + """

@@ -28,10 +28,12 @@ from tallyscope.operators import (
     subscription,
     thresholds,
 )
-from tallyscope.schemas import MODEL_VERSION, THRESHOLDS
+from tallyscope.schemas import MODEL_VERSION, STORED_TRANSACTIONS, THRESHOLDS, TRANSACTIONS
 from tallyscope.session import cut, scratch_path, staged
 from tallyscope.sources import artifacts, tables
 from tallyscope.sources import testtables as tt
+from tallyscope.sources.csv_files import read_csv
+from tallyscope.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +135,42 @@ def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("transaction_id", "customer_id", "recurring_group_id")
 
 
+RAW_CELLS = ["customer_id", "date", "amount", "category", "type", "merchant_category",
+             "recurring_group_id"]
+
+
+@query
+def csv_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``ingest_accept``, written as CSV files of two headers and scanned."""
+    raw, folder = tt.raw_transactions(spark, sf_dir), scratch_path(spark, "csv")
+    # credits have no series, so their files lack the column; the other files have another order
+    for kind, columns in (("credit", RAW_CELLS[:-1]), ("debit", RAW_CELLS[::-1])):
+        raw.where(F.col("source_file") == f"{kind}.csv").select(*columns).write.csv(
+            f"{folder}/{kind}", header=True, quote='"', escape='"', emptyValue="")
+    rows = staged(ingest.check_transactions(read_csv(spark, f"{folder}/*", TRANSACTIONS)))
+    return ingest.accepted(rows).drop("source_file", "seq").withColumns(
+        {**as_double("amount"), **as_text("date")})
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw rows and a replay of them with other series ids, streamed in micro-batches into the
+    stored table: every content id once, with a series id of the rows that came first."""
+    folder, root = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
+    raw = tt.raw_transactions(spark, sf_dir).select(*RAW_CELLS)
+    replay = raw.withColumn("recurring_group_id", F.lit("replayed"))
+    for rows in (raw, replay):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        stream.stream_transactions(
+            stream.arriving_files(spark, folder, 1, "parquet"), root, f"{root}/checkpoint"
+        ).awaitTermination()
+    stored = tables.read(spark, root, "transactions", STORED_TRANSACTIONS)
+    return stored.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.max("customer_id").alias("customer_id"),
+        F.count_if(F.col("recurring_group_id") == "replayed").alias("replayed"))
+
+
 @query
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers renamed by each of their orders; the latest order is the last write."""
