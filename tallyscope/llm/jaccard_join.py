@@ -12,9 +12,11 @@ Set relations spare most of the work:
   with the members, not with their pairs;
 * what a set's answers are inside its group follows from its leaders', so that later only sets
   of different groups are compared; lists that hold one group are skipped whole;
-* in what is left, parts of a list are skipped where the sizes rule out the needed overlap, and
-  single pairs where their positions do or where they share too few lists for it. Every pair that
-  remains is checked on its full sets.
+* in what is left, a list lies in blocks by size and position; pairs of blocks are skipped whole
+  where their sizes, their least positions or what is left behind them rule out the needed
+  overlap, and single pairs where their own do or where they share too few lists for it. Every
+  pair that remains is checked: first on short codes, the upper bits of the hashes, which can only
+  make an overlap look larger, then on the full sets.
 
 So no link between sets of different groups is lost, while the pairs inside a group of thousands
 are never listed. Long lists are dealt into pairs of chunks, so that no task holds a whole one.
@@ -27,8 +29,7 @@ sides, and only pairs that these leave open are decided by what the differences
 A document's set: distinct shingles of ``words`` words, lower-cased A-Z; with fewer words the
 whole sequence as one shingle; null texts and texts without words have the empty set, which links
 with nothing. Rows without an id link with nothing and have no component. Repeated rows have
-equal results. Extra columns are ignored. Shingles are told apart by 64-bit hashes, and by 40 of
-these bits inside a checked pair.
+equal results. Extra columns are ignored. Shingles are told apart by all 64 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ LEADERS = 12
 HUB_ROUNDS = 1
 #: Sets of a list that one task compares with each other at once.
 BLOCK = 4096
+#: Sets of a block of a list; pairs of blocks are skipped by their sizes and positions.
+SKIP_BLOCK = 256
 #: Sets of a group whose differences to its leader one task compares with each other at once.
 GROUP_BLOCK = 2048
 #: Tasks that the links of one set are dealt to.
@@ -246,19 +249,37 @@ def _filter_words(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _packed(shingles: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, as sorted big-endian numbers."""
-    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _codes(shingles: np.ndarray) -> bytes:
+    """A byte for the width, then the upper 16 bits of each hash, or 24 or 32 in large sets."""
+    width = 2 if len(shingles) <= 1 << 12 else 3 if len(shingles) <= 1 << 20 else 4
+    upper = shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + upper.tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(">u8").ravel().astype(np.uint64)
+def _most_common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets and, from their codes, the most shingles that they can have in common."""
+    width = min(x[0], y[0])
+    sides = []
+    for data in (x, y):
+        upper = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])[:, :width]
+        wide = np.zeros((len(upper), 4), np.uint8)
+        wide[:, 4 - width :] = upper
+        code = wide.view(">u4").ravel().astype(np.uint64)
+        # equal codes of one set are told apart by their turn, so that each meets one of the other
+        turn = np.arange(len(code)) - np.searchsorted(code, code)
+        sides.append(code << np.uint64(32) | turn.astype(np.uint64))
+    p, q = sides
+    return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
+
+
+def _common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets and what they have in common."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """key, shingles of the sets whose ids are wanted; of a few others too."""
+    """key, codes, shingles of the sets whose ids are wanted; of a few others too."""
     shared = documents.sparkSession.sparkContext.broadcast(_filter_words(wanted, "doc_id"))
     hashed = F.xxhash64("doc_id")
 
@@ -268,24 +289,28 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             h = batch.column("h").to_numpy()
             word = (h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             asked = (bits[word] >> (h & 63)) & 1
-            keys, data = [], []
+            keys, codes, data = [], [], []
             for i in np.flatnonzero(asked):
                 s = shingle_set(batch.column("text")[int(i)].as_py(), words, hashes)
                 if len(s):
                     keys.append(set_key(s))
-                    data.append(_packed(s))
+                    codes.append(_codes(s))
+                    data.append(s.tobytes())
             if keys:
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(keys, pa.int64()), "shingles": pa.array(data, pa.binary())})
+                    "key": pa.array(keys, pa.int64()), "codes": pa.array(codes, pa.binary()),
+                    "shingles": pa.array(data, pa.binary())})
 
     rows = documents.where("doc_id is not null").select("doc_id", "text", hashed.alias("h"))
-    found = in_small_batches(rows).mapInArrow(compute, "key long, shingles binary")
-    return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    found = in_small_batches(rows).mapInArrow(
+        compute, "key long, codes binary, shingles binary")
+    return found.groupBy("key").agg(
+        F.first("codes").alias("codes"), F.first("shingles").alias("shingles"))
 
 
 def _with_sets_of(pairs: DataFrame, known: DataFrame | None, documents: DataFrame,
                   firsts: DataFrame, words: int) -> DataFrame:
-    """``known`` (key, shingles) and the written sets of all ends of ``pairs`` it doesn't have."""
+    """``known`` (key, codes, shingles) and the written sets of all ends of ``pairs`` it doesn't have."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     missing = ends.distinct()
     if known is not None:
@@ -298,21 +323,23 @@ def _with_sets_of(pairs: DataFrame, known: DataFrame | None, documents: DataFram
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b"))
+    """The pairs (a, b) whose sets link: by their codes at most, then by the sets themselves."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("_a"), batch.column("_b"), strict=True):
-                p, q = _unpacked(x.as_py()), _unpacked(y.as_py())
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def keep(pairs: DataFrame, column: str, overlap) -> DataFrame:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = []
+                for x, y in zip(batch.column("_a"), batch.column("_b"), strict=True):
+                    n, m, same = overlap(x.as_py(), y.as_py())
+                    good.append(100 * same >= percent * (n + m - same))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    return in_small_batches(both).mapInArrow(check, "a long, b long")
+        left = sets.select(F.col("key").alias("a"), F.col(column).alias("_a"))
+        right = sets.select(F.col("key").alias("b"), F.col(column).alias("_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
+        return in_small_batches(both).mapInArrow(check, "a long, b long")
+
+    return keep(keep(pairs, "codes", _most_common), "shingles", _common)
 
 
 def _grouped(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -354,6 +381,35 @@ def _with_hubs(grouped: DataFrame, links: DataFrame, groups: DataFrame, percent:
     return _shared_enough(pairs, percent, LEADERS)
 
 
+def _in_blocks(n: np.ndarray, pos: np.ndarray, percent: int, size: int) -> tuple[np.ndarray, list[int]]:
+    """A list's rows by band of sizes, then position, and where its blocks begin.
+
+    Two bands span the ratio of sizes that can link; a block has rows of one band.
+    """
+    band = np.floor(2 * np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
+    order = np.lexsort((n, pos, band))
+    edges = np.flatnonzero(np.r_[True, np.diff(band[order]) != 0, True]).tolist()
+    return order, [b for start, end in zip(edges, edges[1:], strict=False)
+                   for b in range(start, end, size)]
+
+
+def _open_blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray, begins: list[int],
+                 percent: int) -> list[np.ndarray]:
+    """For each block, itself and the later blocks that it can have a link of two groups with."""
+    low, high = np.minimum.reduceat(n, begins), np.maximum.reduceat(n, begins)
+    before = np.maximum.reduceat(pos, begins)
+    behind = np.maximum.reduceat(n - pos, begins)
+    one, other = np.minimum.reduceat(group, begins), np.maximum.reduceat(group, begins)
+    found = []
+    for i in range(len(begins)):
+        need = (percent * (low[i] + low[i:]) + 99 + percent) // (100 + percent)
+        most = np.minimum(before[i], before[i:]) + np.minimum(behind[i], behind[i:])
+        sizes = ((100 * high[i:] >= percent * low[i]) & (100 * high[i] >= percent * low[i:]))
+        groups = (one[i] != other[i:]) | (other[i] != one[i:])
+        found.append(i + np.flatnonzero(sizes & groups & (most >= need)))
+    return found
+
+
 def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different groups that a list's sizes and positions leave possible."""
     dealt = (
@@ -372,17 +428,25 @@ def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
         if len(key) < 2 or (group == group[0]).all():
             return
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        for begin in range(0, len(key), 512):
-            a = np.arange(begin, min(begin + 512, len(key)))
-            # sets come by size: partners end where they are too large for the whole block
-            stop = np.searchsorted(n, 100 * n[a[-1]] // percent, "right")
-            b = np.arange(begin + 1, stop)
-            need = (percent * (n[a][:, None] + n[b]) + 99 + percent) // (100 + percent)
+        begins, partners_of = [0], [np.array([0])]
+        if len(key) > SKIP_BLOCK:
+            order, begins = _in_blocks(n, pos, percent, SKIP_BLOCK)
+            key, n, pos, group, chunk = (c[order] for c in (key, n, pos, group, chunk))
+            partners_of = _open_blocks(n, pos, group, begins, percent)
+        ends = [*begins[1:], len(key)]
+        for begin, end, others in zip(begins, ends, partners_of, strict=True):
+            if not len(others):
+                continue
+            a = np.arange(begin, end)
+            b = np.concatenate([np.arange(begins[o], ends[o]) for o in others])
+            small = np.minimum(n[a][:, None], n[b])
+            both = n[a][:, None] + n[b]
+            need = (percent * both + 99 + percent) // (100 + percent)
             # the overlap is at most what lies before this shingle in both, it, and what lies behind
             left = np.minimum(pos[a][:, None], pos[b]) + np.minimum((n - pos)[a][:, None],
                                                                     (n - pos)[b])
             open_ = ((a[:, None] < b) & (group[a][:, None] != group[b]) & (left >= need)
-                     & (100 * n[a][:, None] >= percent * n[b]))
+                     & (100 * small >= percent * (both - small)))
             if low[0] != high[0]:
                 open_ &= chunk[a][:, None] != chunk[b]
             i, j = np.nonzero(open_)
@@ -483,14 +547,14 @@ def _differences(groups: DataFrame, links: DataFrame, sets: DataFrame, copies: D
         for batch in batches:
             kept, sizes, data = [], [], []
             for i, leads in enumerate(batch.column("leads").to_pylist()):
-                own = _unpacked(batch.column("shingles")[i].as_py())
+                own = np.frombuffer(batch.column("shingles")[i].as_py(), np.uint64)
                 if leads:
                     leader = own
                     continue
                 apart = np.setxor1d(own, leader, assume_unique=True)
                 kept.append(i)
                 sizes.append(len(own))
-                data.append(_packed(apart << np.uint64(24)))
+                data.append(apart.tobytes())
             if kept:
                 mine = batch.select(["group", "key", "copies", "chunk", "chunks"]).take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays(
@@ -547,7 +611,7 @@ def _links_inside(differences: DataFrame, percent: int) -> DataFrame:
     def counted(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         key, n, copies, chunk = (np.concatenate([r.column(c).to_numpy() for r in rows])
                                  for c in ("key", "n", "copies", "chunk"))
-        apart = [_unpacked(d.as_py()) for r in rows for d in r.column("difference")]
+        apart = [np.frombuffer(d.as_py(), np.uint64) for r in rows for d in r.column("difference")]
         inside = rows[0].column("low")[0] == rows[0].column("high")[0]
         return key, _links_of(n, copies, apart, percent, None if inside else chunk)
 

@@ -58,6 +58,7 @@ def corpus():
 def test_components_equal_all_pairs(documents_of, monkeypatch, words, percent, block, leaders, rounds):
     """Whatever leaders and hubs have linked before, the rest is found."""
     monkeypatch.setattr(join, "BLOCK", block)
+    monkeypatch.setattr(join, "SKIP_BLOCK", block // 4)
     monkeypatch.setattr(join, "LEADERS", leaders)
     monkeypatch.setattr(join, "HUB_ROUNDS", rounds)
     rows = corpus()
@@ -120,3 +121,44 @@ def test_link_counts_equal_all_pairs(documents_of, monkeypatch, words, percent,
     assert len(found) == len(rows) + len(again)
     assert {r.doc_id: r.n_links for r in found if r.doc_id is not None} == want
     assert [r.n_links for r in found if r.doc_id is None] == [0]
+
+
+def test_codes_bound_the_overlap_and_sets_decide_on_all_bits():
+    rng = np.random.default_rng(5)
+    for n, m in [(200, 220), (4000, 4300), (5000, 4000)]:
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, np.uint64))
+        p, q = (np.sort(rng.choice(pool, k, replace=False)) for k in (n, m))
+        truth = len(set(p.tolist()) & set(q.tolist()))
+        assert join._common(p.tobytes(), q.tobytes()) == (n, m, truth)
+        sizes = join._most_common(join._codes(p), join._codes(q))
+        assert sizes[:2] == (n, m) and truth <= sizes[2] <= min(n, m)
+    # sets apart in their last bits only: codes can't tell them, the sets do
+    p = np.sort(rng.integers(0, 1 << 63, 50, np.uint64)) & ~np.uint64(1)
+    q = p | np.uint64(1)
+    assert join._most_common(join._codes(p), join._codes(q))[2] == 50
+    assert join._common(p.tobytes(), q.tobytes())[2] == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_skipped_blocks_hold_no_possible_pair(percent):
+    rng = np.random.default_rng(percent)
+    n = rng.integers(20, 900, 600)
+    pos = (rng.random(600) * (n * (100 - percent) // 100 + 1)).astype(np.int64)
+    group = rng.integers(0, 50, 600)
+    order, begins = join._in_blocks(n, pos, percent, 8)
+    assert sorted(order) == list(range(600))
+    n, pos, group = n[order], pos[order], group[order]
+    ends = [*begins[1:], 600]
+    open_ = join._open_blocks(n, pos, group, begins, percent)
+    seen = {(i, int(j)) for i, found in enumerate(open_) for j in found}
+    by_size = 0
+    for i in range(len(begins)):
+        for j in range(i, len(begins)):
+            a, b = np.arange(begins[i], ends[i])[:, None], np.arange(begins[j], ends[j])
+            sizes = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            most = np.minimum(pos[a], pos[b]) + np.minimum((n - pos)[a], (n - pos)[b])
+            possible = sizes & (group[a] != group[b]) & (most >= need) & (a < b)
+            assert (i, j) in seen or not possible.any()
+            by_size += bool(sizes.any())
+    assert len(seen) < by_size  # positions skip blocks that sizes leave
