@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: ``ingest``, ``features``, ``train``, ``leads``, ``records``."""
+"""Jobs for spark-submit: ``ingest``, ``features``, ``train``, ``leads``, ``records``, ``thresholds``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from tallyscope.plans import ingest, nightly, scoring
+from tallyscope.schemas import THRESHOLDS
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -27,6 +28,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         if name == "leads":
             job.add_argument("--min-score", type=float, default=0.0)
             job.add_argument("--role", default="rm")
+    limits = jobs.add_parser("thresholds", help="change the gate's limits of a product")
+    limits.add_argument("--product", default="home_loan")
+    limits.add_argument("--max-dti", type=float)
+    limits.add_argument("--min-vintage-months", type=int)
+    limits.add_argument("--min-confidence", type=float)
+    limits.add_argument("--role", default="admin")
     return parser.parse_args(argv)
 
 
@@ -41,6 +48,10 @@ def main(argv: list[str] | None = None) -> None:
         print(scoring.train_models(spark, args.root, args.product))
     elif args.job == "leads":
         scoring.run_leads(spark, args.root, args.product, args.min_score, args.role).show()
+    elif args.job == "thresholds":
+        values = (args.product, args.max_dti, args.min_vintage_months, args.min_confidence)
+        updates = spark.createDataFrame([values], THRESHOLDS)
+        scoring.update_thresholds(spark, args.root, updates, args.role).show()
     else:
         scoring.score_records(spark, args.root, args.product).show(truncate=False)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.operators import store
-from tallyscope.schemas import FEATURE_RUNS, FEATURES, TRANSACTIONS
+from tallyscope.schemas import FEATURE_RUNS, TRANSACTIONS
 from tallyscope.sources import tables
 
 
@@ -27,6 +27,8 @@ def run_nightly(
     features, outcomes = store.features_by_group(txns, computed_at, groups)
     tables.write_features(features, root, computed_at)
     tables.append(outcomes, root, "feature_runs", FEATURE_RUNS)
+    # of the day before, so that another run on this day leaves the state as it is
+    tables.refresh_feature_state(spark, root, computed_at - dt.timedelta(days=1))
     counts = features.agg(
         F.count_distinct("customer_id").alias("customers"),
         F.count(F.lit(1)).alias("features"),
@@ -39,8 +41,11 @@ def load_vectors(
     spark: SparkSession, root: str, as_of: dt.date | None = None,
     customer_id: str | None = None,
 ) -> DataFrame:
-    """Latest feature vectors, of all customers or of one; an unknown customer is an error."""
-    features = tables.read(spark, root, "features", FEATURES)
+    """Latest feature vectors, of all customers or of one; an unknown customer is an error.
+
+    Reads the newest kept state on or before the day and the days after it.
+    """
+    features = tables.read_features(spark, root, as_of)
     if customer_id is not None:
         features = features.where(F.col("customer_id") == customer_id)
     vectors = store.feature_vectors(features, as_of)

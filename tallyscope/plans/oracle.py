@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from tallyscope.schemas import FEATURE_LABELS, RATIO_FEATURES
+from tallyscope.schemas import FEATURE_GROUPS, FEATURE_LABELS, RATIO_FEATURES
 
 TXNS = """
 txns AS (
@@ -376,6 +376,10 @@ hashes AS (
   FROM (SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value
         FROM history GROUP BY ALL) GROUP BY customer_id
 )"""
+SCORED_HASHES = HASHES.replace("FROM history", """FROM history
+        WHERE computed_at = '2002-01-01' AND feature_name NOT IN (""" + ", ".join(
+            f"'{n}'" for g in ("subscription_cleansing", "liquidity_pooling")
+            for n in FEATURE_GROUPS[g]) + ")")
 LEADS = """SELECT customer_id, name, round(intent_score, 2) AS intent_score,
   round(q50, 2) AS estimated_income, round(dti, 4) AS dti, round(confidence, 4) AS confidence,
   gate_result FROM gated WHERE gate_result = 'pass' AND intent_score >= 20.0"""
@@ -537,6 +541,10 @@ FROM orders JOIN found ON o_custkey % 4 = first""",
 SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value,
        max(computed_at) AS computed_at
 FROM history WHERE computed_at <= '2000-01-01' GROUP BY ALL""",
+    "features_asof_state": "WITH " + HISTORY + """
+SELECT customer_id, feature_name, arg_max(feature_value, computed_at) AS feature_value,
+       max(computed_at) AS computed_at
+FROM history GROUP BY ALL""",
     "feature_vectors": "WITH " + HISTORY + " SELECT * FROM vectors",
     "feature_warnings": "WITH " + HISTORY + """
 SELECT customer_id, feature_name, feature_value FROM history
@@ -627,7 +635,7 @@ SELECT customer_id, 'home_loan' AS product,
 SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name FROM customer
 ORDER BY customer_id""",
     "feature_hash": "WITH " + HISTORY + ", " + HASHES + "SELECT * FROM hashes",
-    "score_audit": "WITH " + ", ".join([HISTORY, SCORED, HASHES]) + """
+    "score_audit": "WITH " + ", ".join([HISTORY, SCORED, SCORED_HASHES]) + """
 SELECT customer_id, product, '0.1.0' AS capacity_model_version,
        '0.1.0' AS intent_model_version, gate_result, 'rm' AS requesting_role, input_feature_hash
 FROM gated JOIN hashes USING (customer_id)""",

@@ -328,6 +328,18 @@ def features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(as_text("computed_at"))
 
 
+@query
+def features_asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history read from a kept state and the days after it."""
+    root = scratch_path(spark, "features-asof")
+    history = feature_history(spark, sf_dir)
+    tables.write_features(history.where(F.col("computed_at") == F.lit(EARLY)), root, EARLY)
+    tables.keep_feature_state(spark, root, LATE - dt.timedelta(days=1))
+    tables.write_features(history.where(F.col("computed_at") == F.lit(LATE)), root, LATE)
+    rows = store.features_as_of(tables.read_features(spark, root, LATE))
+    return rows.withColumns(as_text("computed_at"))
+
+
 def latest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [n for g in EXACT for n in store.feature_groups()[g][1]()]
     return store.feature_vectors(feature_history(spark, sf_dir), names=names)
@@ -452,9 +464,12 @@ def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One audit row per scored customer."""
+    """One audit row per scored customer, with the hash of the vector it was scored on."""
     gated = gate.check_eligibility(stand_in_customers(spark, sf_dir))
-    hashes = audit.feature_hashes(latest_vectors(spark, sf_dir))
+    scored = groups("income", "cashflow", "debt")
+    wide = store.features_wide(tt.transactions(spark, sf_dir), scored)
+    names = [name for _, (_, columns, _) in scored.items() for name in columns()]
+    hashes = audit.feature_hashes(wide.select("customer_id", *names))
     return audit.score_audit_rows(gated, hashes, "rm").drop("created_at")
 
 

@@ -165,3 +165,56 @@ def test_stored_transactions_are_sorted_for_row_group_skipping(spark, make_txns,
     rows = spark.read.parquet(f"{tmp_path}/transactions/month_idx=24288").collect()
     got = [(r["merchant_category"], r["customer_id"]) for r in rows]
     assert got == sorted(got) and len(got) == 4
+
+
+def test_kept_state_replaces_the_days_it_covers(spark, history, tmp_path):
+    """As-of reads give the same rows, from one state and the days after it only."""
+    root, day = str(tmp_path), dt.date.fromisoformat
+    days = sorted(r[0] for r in history.select("computed_at").distinct().collect())
+    for written in days:
+        tables.write_features(history.where(F.col("computed_at") == F.lit(written)), root, written)
+
+    def same(as_of):
+        got = store.features_as_of(tables.read_features(spark, root, as_of), as_of).collect()
+        want = store.features_as_of(tables.read(spark, root, "features", FEATURES), as_of).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+    assert tables.feature_state(spark, root) is None
+    covered = days[0] + dt.timedelta(days=1)
+    assert tables.refresh_feature_state(spark, root, covered)
+    assert not tables.refresh_feature_state(spark, root, covered + dt.timedelta(days=1))
+    assert not tables.refresh_feature_state(spark, root, days[0] - dt.timedelta(days=1))
+    assert tables.feature_state(spark, root)[1] == covered
+    for as_of in [None, *days, covered, day("2030-01-01"), day("2000-01-01")]:
+        same(as_of)
+    # the days before the state are not read: their files may even be unreadable
+    plan = tables.read_features(spark, root)._jdf.queryExecution().toString()
+    scan = plan.split("== Physical Plan ==")[1]
+    assert "(computed_at#" in scan and str(covered) in scan[scan.rindex("PartitionFilters"):]
+    for file in (tmp_path / "features" / f"computed_at={days[0]}").glob("*.parquet"):
+        file.write_bytes(b"not parquet")
+    spark.catalog.clearCache()
+    assert tables.read_features(spark, root, days[-1]).count() > 0
+
+
+def test_state_is_given_up_when_a_day_it_covers_is_written_again(spark, history, tmp_path):
+    root = str(tmp_path)
+    old, new = dt.date(2024, 1, 1), dt.date(2024, 3, 1)
+    first = spark.createDataFrame([row("c1", "current_dti", 0.1, "2024-01-01")], FEATURES)
+    tables.write_features(first, root, old)
+    tables.keep_feature_state(spark, root, dt.date(2024, 2, 1))
+    # a later day leaves it, an earlier one doesn't
+    tables.write_features(
+        spark.createDataFrame([row("c2", "current_dti", 0.3, "2024-03-01")], FEATURES), root, new)
+    assert tables.feature_state(spark, root, new) is not None
+    tables.write_features(
+        spark.createDataFrame([row("c1", "current_dti", 0.2, "2024-01-01")], FEATURES), root, old)
+    assert tables.feature_state(spark, root, new) is None
+    rows = store.features_as_of(tables.read_features(spark, root, new)).collect()
+    assert {(r["customer_id"], r["feature_value"]) for r in rows} == {("c1", 0.2), ("c2", 0.3)}
+    # a state whose manifest is missing was never finished
+    tables.keep_feature_state(spark, root, dt.date(2024, 2, 1))
+    path, _ = tables.feature_state(spark, root, new)
+    for file in (tmp_path / path.split("/")[-3] / path.split("/")[-2] / "manifest").iterdir():
+        file.unlink()
+    assert tables.feature_state(spark, root, new) is None
