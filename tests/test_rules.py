@@ -187,3 +187,16 @@ def test_range_edges_are_valid(spark, values):
 def test_unknown_product_is_refused(spark, stored):
     with pytest.raises(ValueError):
         update(spark, stored, 0.4, None, None, product="boat_loan")
+
+
+def test_thresholds_job_changes_only_what_is_given(spark, tmp_path, capsys):
+    from tallyscope.__main__ import main
+
+    stored = spark.createDataFrame([("home_loan", 0.5, 6, 0.3), ("other", 0.5, 6, 0.3)], THRESHOLDS)
+    tables.write_snapshot(stored, str(tmp_path), "gating_thresholds", THRESHOLDS)
+    main(["--root", str(tmp_path), "thresholds", "--max-dti", "0.4"])
+    assert "0.4" in capsys.readouterr().out
+    rows = {r["product"]: tuple(r)[1:] for r in scoring.read_thresholds(spark, str(tmp_path)).collect()}
+    assert rows == {"home_loan": (0.4, 6, 0.3), "other": (0.5, 6, 0.3)}
+    with pytest.raises(ValueError):
+        main(["--root", str(tmp_path), "thresholds", "--max-dti", "4"])
