@@ -645,6 +645,15 @@ SELECT CAST(user_id AS VARCHAR) AS customer_id, 'home_loan' AS product,
        event_type AS gate_result, 'rm' AS requesting_role, sha256(props) AS input_feature_hash,
        ts AS created_at
 FROM events ORDER BY customer_id, created_at DESC""",
+    "audit_of_customer": """
+SELECT CAST(user_id AS VARCHAR) AS customer_id, 'home_loan' AS product,
+       '0.1.0' AS capacity_model_version, '0.1.0' AS intent_model_version,
+       event_type AS gate_result, 'rm' AS requesting_role, sha256(props) AS input_feature_hash,
+       ts AS created_at
+FROM events WHERE user_id = (
+  SELECT user_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+  ORDER BY count(*) DESC, CAST(user_id AS VARCHAR) LIMIT 1)
+ORDER BY customer_id, created_at DESC""",
     "lead_audit_row": "WITH " + GATED + """
 SELECT '__leads_batch__' AS customer_id, 'home_loan' AS product,
        'n/a' AS capacity_model_version, 'n/a' AS intent_model_version,

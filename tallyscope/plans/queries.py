@@ -28,7 +28,7 @@ from tallyscope.operators import (
     subscription,
     thresholds,
 )
-from tallyscope.schemas import MODEL_VERSION, STORED_TRANSACTIONS, THRESHOLDS, TRANSACTIONS
+from tallyscope.schemas import AUDIT_LOG, MODEL_VERSION, STORED_TRANSACTIONS, THRESHOLDS, TRANSACTIONS
 from tallyscope.session import cut, scratch_path, staged
 from tallyscope.sources import artifacts, tables
 from tallyscope.sources import testtables as tt
@@ -473,10 +473,9 @@ def score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.score_audit_rows(gated, hashes, "rm").drop("created_at")
 
 
-@query
-def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as audit rows, newest first within each customer."""
-    log = tt.table(spark, sf_dir, "events").select(
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as audit rows."""
+    return tt.table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("customer_id"),
         F.lit(PRODUCT).alias("product"),
         F.lit("0.1.0").alias("capacity_model_version"),
@@ -486,7 +485,26 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("props", 256).alias("input_feature_hash"),
         F.col("ts").alias("created_at"),
     )
-    return audit.audit_trail(log)
+
+
+@query
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows, newest first within each customer."""
+    return audit.audit_trail(event_log(spark, sf_dir))
+
+
+@query
+def audit_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored audit rows of the customer with most of them, newest first.
+
+    The log is written clustered by customer; the read finds the customer's rows in it.
+    """
+    root = scratch_path(spark, "audit")
+    tables.append_by_customer(event_log(spark, sf_dir), root, "audit_log", AUDIT_LOG)
+    log = tables.read(spark, root, "audit_log", AUDIT_LOG)
+    counts = log.where("customer_id is not null").groupBy("customer_id").count()
+    busiest = counts.orderBy(F.col("count").desc(), "customer_id").first()
+    return audit.audit_trail(log, busiest["customer_id"] if busiest else "")
 
 
 @query

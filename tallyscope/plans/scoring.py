@@ -72,7 +72,7 @@ def run_leads(
             for name in ("capacity", f"intent_{product}")
         ]
         rows = audit.score_audit_rows(gated, audit.feature_hashes(vectors), role, *versions)
-        tables.append(rows, root, "audit_log", AUDIT_LOG)
+        tables.append_by_customer(rows, root, "audit_log", AUDIT_LOG)
     batch = audit.lead_audit_row(stored, product, min_score, role)
     tables.append(batch, root, "audit_log", AUDIT_LOG)
     return stored

@@ -14,7 +14,7 @@ from tallyscope.operators.monthly import customer_profile
 from tallyscope.operators.pooling import open_maturities
 from tallyscope.operators.subscription import series_ends
 from tallyscope.plans import nightly
-from tallyscope.schemas import FEATURE_NAMES, FEATURE_RUNS, FEATURES, TRANSACTIONS
+from tallyscope.schemas import AUDIT_LOG, FEATURE_NAMES, FEATURE_RUNS, FEATURES, TRANSACTIONS
 from tallyscope.sources import tables
 from test_features import EXPECTED, worked_example
 
@@ -167,6 +167,44 @@ def test_stored_transactions_are_sorted_for_row_group_skipping(spark, make_txns,
     assert got == sorted(got) and len(got) == 4
 
 
+def rows_scanned(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_one_customer_is_read_from_a_bounded_share_of_the_log(spark, tmp_path):
+    n, root = 400_000, str(tmp_path)
+    log = spark.range(n).select(
+        F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(50_000))).alias("customer_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("input_feature_hash"),
+        F.timestamp_seconds("id").alias("created_at"))
+    for part in log.randomSplit([0.5, 0.5], 1):
+        tables.append_by_customer(part, root, "audit_log", AUDIT_LOG)
+    stored = tables.read(spark, root, "audit_log", AUDIT_LOG)
+    assert stored.count() == n
+    mine = stored.where("customer_id = 'c123'")
+    assert rows_scanned(mine) <= n / 5
+    # an absent customer inside the range of names is found in no row group or few pages
+    assert rows_scanned(stored.where("customer_id = 'c123x'")) <= n / 5
+    want = log.where("customer_id = 'c123'").select("input_feature_hash", "created_at")
+    got = mine.select("input_feature_hash", "created_at")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_one_hot_customer_is_spread_over_files(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        rows = spark.range(0, 60_000, 1, 8).select(
+            F.lit("hot").alias("customer_id"), F.sha2(F.col("id").cast("string"), 256).alias("input_feature_hash"))
+        tables.append_by_customer(rows, str(tmp_path), "audit_log", AUDIT_LOG)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    stored = tables.read(spark, str(tmp_path), "audit_log", AUDIT_LOG)
+    assert stored.count() == 60_000 and len(stored.inputFiles()) > 3
+
+
 def test_kept_state_replaces_the_days_it_covers(spark, history, tmp_path):
     """As-of reads give the same rows, from one state and the days after it only."""
     root, day = str(tmp_path), dt.date.fromisoformat
