@@ -40,3 +40,37 @@ def test_run_equals_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert sorted(map(str, found.collect())) == sorted(map(str, docs.collect()))
+
+
+def through(spark, docs, folder):
+    """What each stage keeps, written and read again."""
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(folder / name))
+        docs = seen[name] = spark.read.parquet(str(folder / name))
+    return seen
+
+
+def test_repeated_ids_nulls_and_clashing_columns(spark, documents_of, tmp_path):
+    rows = [(i, t, lang, f"s{i % 3}") for i, t, lang in corpus(60)]
+    # ids of one source come again with other texts in another, once without id or source
+    rows += [(i, t + " joe@example.com", lang, "s9") for i, t, lang in corpus(12)]
+    rows += [(None, rows[0][1] + " kalo mira teno", "aa", None), (300, None, None, None), (300, "", None, "s1")]
+    extra = {"_score": "1.5", "_spans": "'kept'", "_taken": "7", "_id": "doc_id", "row": "'r'", "key": "'k'",
+             "component_id": "-1", "n_words": "null", "_lettered": "false"}
+    df = documents_of(rows).selectExpr("*", *(f"{v} as {k}" for k, v in extra.items()))
+    seen = through(spark, df, tmp_path)
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        kept = seen[name]
+        assert kept.columns == df.columns
+        assert kept.count() > 0
+        wrong = " or ".join(f"not ({k} <=> {v})" for k, v in extra.items())
+        assert kept.where(wrong).count() == 0, name
+    assert seen["pii"].where("text like '%@%'").count() == 0
+    assert seen["jaccard_join"].where("doc_id = 300").count() == 0
+    assert seen["sentencepiece"].count() == seen["mixing"].count()
+
+
+def test_an_empty_table_stays_empty(spark, documents_of, tmp_path):
+    seen = through(spark, documents_of([(1, "kalo mira", "aa")]).limit(0), tmp_path)
+    assert all(d.count() == 0 for d in seen.values())
