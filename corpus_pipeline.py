@@ -1,4 +1,11 @@
-"""The training-data pipeline: its stages over documents, each written and read again."""
+"""The training-data pipeline: its stages over documents, each written and read again.
+
+Texts that are null, empty or without a letter go in the first stage, so that later ones don't see
+them; nulls in other columns are kept. Of a group of near copies the rows of the smallest id stay:
+rows without an id all stay, rows that share an id are one document, which goes if one of them is
+linked to a smaller id. Ids that repeat across sources are mixed by their own source's budget. Columns of any
+other name pass through all stages but the last unchanged. An empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
