@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents on word shingles, with skipping by set relations.
 
-Equal sets are one set from the start. The shingles of a set are put into one global order: rare
-ones first, by a table of counts of all documents' shingles hashed to a fixed number of cells,
-then by hash. Two sets that link share a shingle among the first few of both (prefix filter), so
-only those are indexed. An index list is kept by set size and holds each set's position in it.
+Equal sets are one set from the start. The shingles of a set are put into one global order: first
+those of rare words, last those that are frequent themselves, then by hash. The counts of all
+documents' words and shingles lie in tables of a fixed number of cells; since a text has far fewer
+different words than shingles, rare shingles are still told apart in a large corpus. Two sets that
+link share a shingle among the first few of both (prefix filter), so only those are indexed. An index list is kept by set size and holds each set's position in it.
 
 Set relations spare most of the work:
 * in each list, a set is first paired only with the list's leaders, its ``LEADERS`` sets of lowest
@@ -47,10 +48,15 @@ from tallyscope.llm.common import in_small_batches, pieces
 from tallyscope.llm.components import components, groups_within
 from tallyscope.session import cut, scratch_path, staged
 
-#: Cells of the table of shingle counts.
+#: Cells of the table of shingle counts, and of the table of word counts.
 CELL_BITS = 16
-#: Words whose hashes a task remembers before it starts over; bounds memory only.
-REMEMBERED = 300_000
+#: Shingles are frequent themselves if their cell holds so many times the median of all cells.
+FREQUENT = 1.3
+#: Ranks of shingles by their words are below this, those of frequent ones from it on; both fit 12 bits.
+WORD_RANKS = 2048
+#: Words that are hashed at once, and the bytes beyond which a word is hashed on its own.
+HASHED = 1 << 16
+LONG_WORD = 256
 #: Sets of a list, and of those a set meets, that it is checked against before all others.
 LEADERS = 12
 HUB_ROUNDS = 1
@@ -69,30 +75,78 @@ FILTER_BITS = 18
 STEP_BYTES = 2_000_000
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles."""
-    # splits at exactly the blanks that words are free of, and lowers A-Z only
-    found = text.encode("utf-8", "replace").lower().split() if text else []
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(hashes.__getitem__, found), np.uint64, n)
-    width = min(words, n)
-    mixed = np.full(n - width + 1, width, np.uint64)
+_BYTE = np.arange(256)
+_BLANK = (_BYTE == 0x20) | (_BYTE >= 0x09) & (_BYTE <= 0x0D)
+_LOWER = np.where((_BYTE >= 0x41) & (_BYTE <= 0x5A), _BYTE + 0x20, _BYTE).astype(np.uint8)
+#: Masks for the last bytes of a word, by their number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of all texts, and where the words of each text begin."""
+    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    _, ends, data = texts.buffers()
+    edges = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    if not len(raw):
+        return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _LOWER[raw]
+    blank = _BLANK[raw]
+    outside = np.zeros(len(raw) + 1, bool)  # whether a word can't go on from the byte before
+    outside[edges] = True
+    start = np.flatnonzero(~blank & (outside[:-1] | np.r_[True, blank[:-1]]))
+    size = np.flatnonzero(~blank & (outside[1:] | np.r_[blank[1:], True])) + 1 - start
+    eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))  # the eight bytes from each byte on
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(out), HASHED):
+        h, begin, left = (x[at : at + HASHED] for x in (out, start, size))
+        rows = np.flatnonzero(left <= LONG_WORD)
+        for step in range(0, LONG_WORD, 8):
+            rows = rows[left[rows] > step]
+            if not len(rows):
+                break
+            block = eight[begin[rows] + step] & _BYTES[np.minimum(left[rows] - step, 8)]
+            mixed = (h[rows] ^ block) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0x94D049BB133111EB)
+            h[rows] = mixed ^ mixed >> np.uint64(29)
+        for i in np.flatnonzero(left > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(low[begin[i] : begin[i] + left[i]])
+    return out, np.searchsorted(start, edges)
+
+
+def _windows(each: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every run of ``width`` words."""
+    n = max(len(each) - width + 1, 0)
+    mixed = np.full(n, width, np.uint64)
     for i in range(width):
-        mixed = (mixed ^ each[i : n - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ each[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
+
+
+def _runs(hashes: np.ndarray, first: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, slice]]:
+    """Of each text, the hashes of its shingles as they come, and where its words lie."""
+    mixed = _windows(hashes, words)
+    for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if end - begin >= words:
+            yield mixed[begin : end - words + 1], slice(begin, end)
+        else:
+            yield _windows(hashes[begin:end], end - begin) if end > begin else mixed[:0], slice(begin, end)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different ones of sorted values."""
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles."""
+    return [_distinct(np.sort(run)) for run, _ in _runs(*word_hashes(texts), words)]
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -119,27 +173,50 @@ def can_link(n: int, percent: int) -> bool:
     return 100 * n >= percent * (n + 1)
 
 
-def in_order(shingles: np.ndarray, classes: np.ndarray, first: int) -> np.ndarray:
-    """The ``first`` shingles in the global order: count class of the cell, then hash."""
-    rank = classes[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    order = rank.astype(np.uint64) << np.uint64(52) | shingles >> np.uint64(12)
+def in_order(shingles: np.ndarray, ranks: np.ndarray, first: int) -> np.ndarray:
+    """The ``first`` distinct shingles in the global order: rank, then hash."""
+    order = ranks.astype(np.uint64) << np.uint64(52) | shingles >> np.uint64(12)
     if first < len(order):
         chosen = np.argpartition(order, first)[:first]
         return shingles[chosen[np.argsort(order[chosen])]]
     return shingles[np.argsort(order)]
 
 
+def _classes(totals: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the counts of all shingles and words, what a word adds to the rank of its shingles, by
+    its cell, and the least rank of a shingle, by its own."""
+    shingles, each = totals.reshape(2, -1)
+    of_words = WORD_RANKS / (48 * words) * np.log2(each + 1)
+    of_cells = np.minimum(WORD_RANKS + 32 * np.log2(shingles + 1), 2 * WORD_RANKS - 1)
+    often = shingles > FREQUENT * max(np.median(shingles), 1)
+    return of_words.astype(np.int64), np.where(often, of_cells, 0).astype(np.int64)
+
+
+def _ranks(run: np.ndarray, of_words: np.ndarray, of_cells: np.ndarray) -> np.ndarray:
+    """The ranks of a text's shingles, from what its words add."""
+    width = len(of_words) - len(run) + 1
+    added = sum(of_words[i : len(run) + i] for i in range(width))
+    return np.maximum(added, of_cells[_cell(run)])
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _described(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, n of every row, and beside them cell, count of the task's shingles."""
+    """doc_id, key, n of every row, and beside them cell, count of the task's shingles and words."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, totals = WordHashes(), np.zeros(1 << CELL_BITS, np.int64)
+        cells = 1 << CELL_BITS
+        totals = np.zeros(2 * cells, np.int64)  # of shingles, then of words
         kind = None
         for batch in chain.from_iterable(pieces(b, "text", STEP_BYTES) for b in batches):
             kind = batch.schema.field("doc_id").type
-            sets = [shingle_set(t.as_py(), words, hashes) for t in batch.column("text")]
-            held = np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(64 - CELL_BITS)
-            totals += np.bincount(held.astype(np.int64), minlength=len(totals))
+            hashes, first = word_hashes(batch.column("text"))
+            sets = [_distinct(np.sort(run)) for run, _ in _runs(hashes, first, words)]
+            held = np.concatenate([*sets, np.empty(0, np.uint64)])
+            totals[:cells] += np.bincount(_cell(held), minlength=cells)
+            totals[cells:] += np.bincount(_cell(hashes), minlength=cells)
             n = len(sets)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
@@ -159,18 +236,24 @@ def _described(documents: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(describe, f"doc_id {kind}, key long, n long, cell int, count long")
 
 
-def _postings(documents: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+def _postings(documents: DataFrame, totals: np.ndarray, words: int, percent: int) -> DataFrame:
     """token, key, n, pos: the indexed shingles of every set, once per task."""
-    shared = documents.sparkSession.sparkContext.broadcast(classes)
+    shared = documents.sparkSession.sparkContext.broadcast(_classes(totals, words))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, ranks = WordHashes(), set(), shared.value
+        seen, (of_words, of_cells) = set(), shared.value
         for batch in chain.from_iterable(pieces(b, "text", STEP_BYTES) for b in batches):
             tokens, keys, sizes = [], [], []
-            for t in batch.column("text"):
-                s = shingle_set(t.as_py(), words, hashes)
+            hashes, first = word_hashes(batch.column("text"))
+            added = of_words[_cell(hashes)]
+            for run, own in _runs(hashes, first, words):
+                order = np.argsort(run)
+                s = run[order]
+                new = np.r_[True, s[1:] != s[:-1]][: len(s)]
+                s = s[new]
                 if len(s) and can_link(len(s), percent) and (key := set_key(s)) not in seen:
                     seen.add(key)
+                    ranks = _ranks(run, added[own], of_cells)[order[new]]
                     tokens.append(in_order(s, ranks, prefix_length(len(s), percent)))
                     keys.append(key)
                     sizes.append(len(s))
@@ -284,14 +367,13 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     hashed = F.xxhash64("doc_id")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value
+        bits = shared.value
         for batch in chain.from_iterable(pieces(b, "text", STEP_BYTES) for b in batches):
             h = batch.column("h").to_numpy()
             word = (h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             asked = (bits[word] >> (h & 63)) & 1
             keys, codes, data = [], [], []
-            for i in np.flatnonzero(asked):
-                s = shingle_set(batch.column("text")[int(i)].as_py(), words, hashes)
+            for s in shingle_sets(batch.column("text").take(pa.array(np.flatnonzero(asked))), words):
                 if len(s):
                     keys.append(set_key(s))
                     codes.append(_codes(s))
@@ -423,52 +505,60 @@ def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
     parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "n", "key")
 
-    def pairs_of(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, key, n, pos, group, chunk, low, high = run
-        if len(key) < 2 or (group == group[0]).all():
+    def open_pairs(a: np.ndarray, b: np.ndarray, run: list[np.ndarray]) -> np.ndarray:
+        """Whether sizes, positions and groups leave rows a, b of the lists possible."""
+        _, _, n, pos, group, chunk, low, high = run
+        small = np.minimum(n[a], n[b])
+        both = n[a] + n[b]
+        need = (percent * both + 99 + percent) // (100 + percent)
+        # the overlap is at most what lies before this shingle in both, it, and what lies behind
+        left = np.minimum(pos[a], pos[b]) + np.minimum((n - pos)[a], (n - pos)[b])
+        return ((group[a] != group[b]) & (left >= need) & (100 * small >= percent * (both - small))
+                & ((low[a] == high[a]) | (chunk[a] != chunk[b])))
+
+    def packed(x: np.ndarray, y: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Pairs of rows as one row for the lesser key of each, with its partners."""
+        x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+        order = np.argsort(key[x], kind="stable")
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.r_[True, key[x[1:]] != key[x[:-1]]])
+        partners = pa.StructArray.from_arrays([pa.array(key[y]), pa.array(n[y])], names=["key", "n"])
+        return pa.RecordBatch.from_pydict({
+            "a": key[x[first]], "n": n[x[first]],
+            "partners": pa.ListArray.from_arrays(pa.array(np.r_[first, len(x)], pa.int32()), partners)})
+
+    def pairs_of_long(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Of one list, block by block."""
+        if (run[4] == run[4][0]).all():
             return
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        begins, partners_of = [0], [np.array([0])]
-        if len(key) > SKIP_BLOCK:
-            order, begins = _in_blocks(n, pos, percent, SKIP_BLOCK)
-            key, n, pos, group, chunk = (c[order] for c in (key, n, pos, group, chunk))
-            partners_of = _open_blocks(n, pos, group, begins, percent)
-        ends = [*begins[1:], len(key)]
+        order, begins = _in_blocks(run[2], run[3], percent, SKIP_BLOCK)
+        run = [c[order] for c in run]
+        ends = [*begins[1:], len(order)]
+        partners_of = _open_blocks(run[2], run[3], run[4], begins, percent)
         for begin, end, others in zip(begins, ends, partners_of, strict=True):
             if not len(others):
                 continue
-            a = np.arange(begin, end)
+            a = np.arange(begin, end)[:, None]
             b = np.concatenate([np.arange(begins[o], ends[o]) for o in others])
-            small = np.minimum(n[a][:, None], n[b])
-            both = n[a][:, None] + n[b]
-            need = (percent * both + 99 + percent) // (100 + percent)
-            # the overlap is at most what lies before this shingle in both, it, and what lies behind
-            left = np.minimum(pos[a][:, None], pos[b]) + np.minimum((n - pos)[a][:, None],
-                                                                    (n - pos)[b])
-            open_ = ((a[:, None] < b) & (group[a][:, None] != group[b]) & (left >= need)
-                     & (100 * small >= percent * (both - small)))
-            if low[0] != high[0]:
-                open_ &= chunk[a][:, None] != chunk[b]
-            i, j = np.nonzero(open_)
+            i, j = np.nonzero(open_pairs(a, b, run) & (a < b))
             if len(i):
-                x, y = a[i], b[j]
-                x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
-                order = np.argsort(x, kind="stable")
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                partners = pa.StructArray.from_arrays(
-                    [pa.array(key[y]), pa.array(n[y])], names=["key", "n"])
-                yield pa.RecordBatch.from_pydict({
-                    "a": key[x[first]], "n": n[x[first]],
-                    "partners": pa.ListArray.from_arrays(
-                        pa.array(np.r_[first, len(x)], pa.int32()), partners)})
+                yield packed(begin + i, b[j], run[1], run[2])
+
+    def pairs_of_short(run: list[np.ndarray], size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of lists of these sizes, one after the other, all at once."""
+        later = np.repeat(np.cumsum(size), size) - np.arange(len(run[1])) - 1  # rows of its list behind each
+        a = np.repeat(np.arange(len(later)), later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        open_ = open_pairs(a, b, run)
+        if open_.any():
+            yield packed(a[open_], b[open_], run[1], run[2])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names = ["token", "key", "n", "pos", "group", "chunk", "low", "high"]
         for batch in chain(batches, [None]):
             if batch is not None:
-                fresh = [batch.column(c).to_numpy() for c in names]
+                fresh = [batch.column(c).to_numpy().astype(np.int64) for c in names]
                 held = fresh if not held else [np.concatenate(x)
                                                for x in zip(held, fresh, strict=True)]
             if not held or not len(held[0]):
@@ -476,39 +566,43 @@ def _across_groups(grouped: DataFrame, percent: int) -> DataFrame:
             change = np.zeros(len(held[0]) - 1, bool)
             for c in (held[0], held[6], held[7]):
                 change |= c[1:] != c[:-1]
-            edges = [0, *(np.flatnonzero(change) + 1), len(held[0])]
+            edges = np.r_[0, np.flatnonzero(change) + 1, len(held[0])]
             done = edges if batch is None else edges[:-1]
-            for start, end in zip(done, done[1:], strict=False):
-                yield from pairs_of([c[start:end] for c in held])
+            size = np.diff(done)
+            for start, m in zip(done[:-1][size > SKIP_BLOCK], size[size > SKIP_BLOCK], strict=True):
+                yield from pairs_of_long([c[start : start + m] for c in held])
+            short = np.repeat(size <= SKIP_BLOCK, size)
+            if short.any():
+                yield from pairs_of_short([c[: done[-1]][short] for c in held], size[size <= SKIP_BLOCK])
             held = [c[edges[-2] :] for c in held] if batch is not None else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partners of a set from all its lists, which lie next to each other."""
-        held: list[pa.RecordBatch] = []
-        for batch in chain(batches, [None]):
-            if batch is None:
-                if held:
-                    yield enough(held)
-                return
-            a = batch.column("a").to_numpy()
-            edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1), len(a)] if len(a) else [0]
-            for start, end in zip(edges, edges[1:], strict=False):
-                part = batch.slice(start, end - start)
-                if held and held[-1].column("a")[0] != part.column("a")[0]:
-                    yield enough(held)
-                    held = []
-                held.append(part)
-
-    def enough(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        own, size = rows[0].column("a")[0].as_py(), rows[0].column("n")[0].as_py()
-        parts = [r.column("partners").flatten() for r in rows]
-        keys = np.concatenate([p.field("key").to_numpy() for p in parts])
-        sizes = np.concatenate([p.field("n").to_numpy() for p in parts])
-        keys, at, times = np.unique(keys, return_index=True, return_counts=True)
-        both, large = sizes[at] + size, np.maximum(sizes[at], size)
+        held: list[list[np.ndarray]] = []  # the last set's, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            partners = batch.column("partners")
+            each, entries = partners.value_lengths().to_numpy(), partners.flatten()
+            rows = [np.repeat(batch.column(c).to_numpy(), each) for c in ("a", "n")]
+            held.append([*rows, *(entries.field(c).to_numpy() for c in ("key", "n"))])
+            if held[-1][0][-1] != held[0][0][0]:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = np.searchsorted(rows[0], rows[0][-1])
+                yield enough(*(c[:end] for c in rows))
+                held = [[c[end:] for c in rows]]
+        if held:
+            yield enough(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def enough(own: np.ndarray, size: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, own))
+        own, size, keys, sizes = (c[order] for c in (own, size, keys, sizes))
+        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])])
+        times = np.diff(np.r_[first, len(own)])
+        own, size, keys, sizes = (c[first] for c in (own, size, keys, sizes))
+        both, large = sizes + size, np.maximum(sizes, size)
         least = -(-percent * both // (100 + percent)) + (-percent * large // 100) + 1  # needed()
-        keys = keys[times >= least]
-        return pa.RecordBatch.from_pydict({"a": np.full(len(keys), own, np.int64), "b": keys})
+        return pa.RecordBatch.from_pydict({"a": own[times >= least], "b": keys[times >= least]})
 
     found = in_small_batches(blocks).mapInArrow(
         compare, "a long, n long, partners array<struct<key:long,n:long>>")
@@ -668,13 +762,12 @@ def linked_documents(documents: DataFrame, words: int = 3, percent: int = 90,
     described = spark.read.parquet(path)
     rows = described.where("cell is null").select("doc_id", "key", "n")
     counts = described.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("count"))
-    cells = counts.toPandas()  # at most 2 ** CELL_BITS rows
-    totals = np.zeros(1 << CELL_BITS)
+    cells = counts.toPandas()  # at most 2 << CELL_BITS rows
+    totals = np.zeros(2 << CELL_BITS)
     totals[cells["cell"].to_numpy(int)] = cells["count"].to_numpy(float)
-    classes = (16 * np.log2(totals + 1)).astype(np.int64)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = _postings(documents, classes, words, percent).repartition(
+    lists = _postings(documents, totals, words, percent).repartition(
         parts, "token").sortWithinPartitions("token", F.xxhash64("key"), "key")
     path = scratch_path(spark, "lists")
     _with_leaders(lists, percent).write.parquet(path)

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyscope.llm import jaccard_join as join
@@ -162,3 +163,42 @@ def test_skipped_blocks_hold_no_possible_pair(percent):
             assert (i, j) in seen or not possible.any()
             by_size += bool(sizes.any())
     assert len(seen) < by_size  # positions skip blocks that sizes leave
+
+
+def test_word_hashes_equal_those_of_words_cut_one_by_one():
+    texts = [None, "", " \t\n", "a B  c\n", "A\x0bb\x0cc\r\n", "q", "\x00\x01 \x00", "é́ ß 　y\x85z", "x" * 257 + " end",
+             "X" * 256 + " " + "x" * 256, "12345678 123456789 12345678", None, "日本語 テスト 😀", "END\x1cend ſ ſ"]
+    of_word = {}
+    for column in (pa.array(texts), pa.array(["z", *texts, "z"]).slice(1, len(texts)),
+                   pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None, ""])):
+        found = [re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+                 for t in column.to_pylist()]
+        hashes, first = join.word_hashes(column)
+        assert np.diff(first).tolist() == [len(words) for words in found]
+        for word, value in zip([w for words in found for w in words], hashes.tolist(), strict=True):
+            assert of_word.setdefault(word, value) == value
+    assert len(set(of_word.values())) == len(of_word) > 12
+
+
+def test_rare_shingles_go_first_in_a_corpus_of_many_more_shingles_than_cells(monkeypatch):
+    """Unrelated texts share few of their indexed shingles, and hardly any of a repeated passage."""
+    monkeypatch.setattr(join, "CELL_BITS", 8)
+    rng = np.random.default_rng(11)
+    common, passage = [f"c{i}" for i in range(30)], [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(600):
+        words = [f"rare{i}x{k}" if rng.random() < 0.08 else str(rng.choice(common)) for k in range(200)]
+        texts.append(" ".join(words + passage * (i % 2)))
+    hashes, first = join.word_hashes(pa.array(texts))
+    sets = join.shingle_sets(pa.array(texts), 3)
+    totals = np.concatenate([np.bincount(join._cell(x), minlength=256) for x in (np.concatenate(sets), hashes)])
+    of_words, of_cells = join._classes(totals, 3)
+    assert np.concatenate(sets).size > 100 * 256
+    indexed, added = [], of_words[join._cell(hashes)]
+    for s, (run, own) in zip(sets, join._runs(hashes, first, 3), strict=True):
+        at = np.searchsorted(run, s, sorter=np.argsort(run))
+        ranks = join._ranks(run, added[own], of_cells)[np.argsort(run)[at]]
+        assert ranks.min() >= 0 and ranks.max() < 4096
+        indexed.append(join.in_order(s, ranks, join.prefix_length(len(s), 90)))
+    _, times = np.unique(np.concatenate(indexed), return_counts=True)
+    assert times[times > 1].sum() < 0.05 * times.sum()
