@@ -4,7 +4,8 @@ Equal sets are one set from the start. The shingles of a set are put into one gl
 those of rare words, last those that are frequent themselves, then by hash. The counts of all
 documents' words and shingles lie in tables of a fixed number of cells; since a text has far fewer
 different words than shingles, rare shingles are still told apart in a large corpus. Two sets that
-link share a shingle among the first few of both (prefix filter), so only those are indexed. An index list is kept by set size and holds each set's position in it.
+link share a shingle among the first few of both (prefix filter), so only those are indexed. An
+index list is kept by set size and holds each set's position in it.
 
 Set relations spare most of the work:
 * in each list, a set is first paired only with the list's leaders, its ``LEADERS`` sets of lowest
