@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from test_features import mixed
 from test_growth import tables  # noqa: F401
 
+from tallyscope.functions.columns import month_index
+from tallyscope.operators import ingest
 from tallyscope.operators.base import Base
 from tallyscope.plans import queries
 from tallyscope.session import passing, shared_dir, staged, staged_in_turn
@@ -102,3 +104,27 @@ def test_models_learn_from_vectors_made_in_parts(spark, tables, monkeypatch, nam
     monkeypatch.setattr(queries, "feature_base", reach)
     with pytest.raises(Reached):
         queries.QUERIES[name](spark, f"{tables}/./")
+
+
+def test_a_batch_is_loaded_some_months_after_others(spark, tables, in_small_parts, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(queries.stream, "LOAD_ROWS", 20)
+    raw = queries.tt.raw_transactions(spark, tables)
+    new = ingest.accepted(ingest.check_transactions(raw)).withColumn("month_idx", month_index(F.col("date")))
+    few = new.where(F.col("month_idx") < 12 * 1995 + 4)
+    found = [rows_of(few.where(some)) for some in queries.stream._loads(few)]
+    assert len(found) > 4 and sorted(r for rows in found for r in rows) == rows_of(few)
+    # the busiest month has more rows than a load
+    assert max(map(len, found)) < few.groupBy("month_idx").count().agg(F.max("count")).first()[0]
+
+    monkeypatch.setattr(queries.stream, "LOAD_ROWS", 700)
+    before = {name: set(glob.glob(f"{shared_dir(spark)}/{name}-*")) for name in ("stream", "arriving")}
+    kept = shuffle_files(spark)
+    rows = queries.QUERIES["stream_ingest"](spark, tables)
+    assert not left_over(spark, kept)
+    assert sorted((r.transaction_id, r.customer_id, r.copies, r.replayed) for r in rows.collect()) == sorted(
+        (r.transaction_id, r.customer_id, 1, 0)
+        for r in new.select("transaction_id", "customer_id").distinct().collect())
+    assert set(glob.glob(f"{shared_dir(spark)}/stream-*")) == before["stream"]
+    # only the replay's files are left of those that arrived
+    arrived, = set(glob.glob(f"{shared_dir(spark)}/arriving-*")) - before["arriving"]
+    assert {r.recurring_group_id for r in spark.read.parquet(arrived).collect()} == {"replayed"}
