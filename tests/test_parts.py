@@ -128,3 +128,22 @@ def test_a_batch_is_loaded_some_months_after_others(spark, tables, in_small_part
     # only the replay's files are left of those that arrived
     arrived, = set(glob.glob(f"{shared_dir(spark)}/arriving-*")) - before["arriving"]
     assert {r.recurring_group_id for r in spark.read.parquet(arrived).collect()} == {"replayed"}
+
+
+PARTED = ["features_rerun"]
+
+
+@pytest.mark.parametrize("name", PARTED)
+def test_results_of_parts_are_those_of_the_whole(spark, tables, monkeypatch, name):  # noqa: F811
+    if not glob.glob(f"{tables}/labels.parquet"):
+        spark.createDataFrame([(i, i % 2, 0) for i in range(7)], "doc_id long, quality int, toxic int").write.parquet(
+            f"{tables}/labels.parquet")
+    whole = rows_of(queries.QUERIES[name](spark, tables))
+    monkeypatch.setattr(queries.tt, "PART_ROWS", 1200)
+    monkeypatch.setattr(queries.tt, "SLICE_ROWS", 1200)
+    before, made = shuffle_files(spark), []
+    own = Base.by_customers
+    monkeypatch.setattr(Base, "by_customers", lambda base: made.append(own(base)) or made[-1])
+    found = queries.QUERIES[name](spark, tables)
+    assert not left_over(spark, before) and made and {len(parts) for parts in made} == {2}
+    assert rows_of(found) == whole
