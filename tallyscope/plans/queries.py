@@ -72,7 +72,6 @@ for _name, _operator in {
     "salary_stats": income.salary_stats,
     "income_growth": income.income_growth,
     "minimal_features": monthly.minimal_features,
-    "debt_features": debt.debt_features,
     "liquidity_pooling": pooling.liquidity_pooling,
     "bill_shift_drift": billshift.bill_shift_drift,
     "bill_shift_score": billshift.bill_shift,
@@ -81,6 +80,12 @@ for _name, _operator in {
     QUERIES[_name] = on_txns(_operator)
 
 
+@query
+def debt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the features need the transactions three times, so they are written once
+    return in_parts(feature_base(spark, sf_dir), lambda part: debt.debt_features(part.activity), "debt")
+
+
 def as_double(*names: str) -> dict[str, Column]:
     return {n: F.col(n).cast("double") for n in names}
 
