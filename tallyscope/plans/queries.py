@@ -292,9 +292,9 @@ def emi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _debt_column(name: str) -> Query:
-    return lambda spark, sf_dir: debt.debt_features(tt.transactions(spark, sf_dir)).select(
-        "customer_id", name
-    )
+    return lambda spark, sf_dir: in_parts(
+        feature_base(spark, sf_dir),
+        lambda part: debt.debt_features(part.activity).select("customer_id", name), "debt")
 
 
 QUERIES["emi_punctuality"] = _debt_column("emi_punctuality_score")

@@ -130,7 +130,7 @@ def test_a_batch_is_loaded_some_months_after_others(spark, tables, in_small_part
     assert {r.recurring_group_id for r in spark.read.parquet(arrived).collect()} == {"replayed"}
 
 
-PARTED = ["features_rerun", "score_audit", "feature_hash", "feature_vectors", "capacity_matrix", "training_matrix", "debt_features"]
+PARTED = ["features_rerun", "score_audit", "feature_hash", "feature_vectors", "capacity_matrix", "training_matrix", "debt_features", "current_dti"]
 
 
 @pytest.mark.parametrize("name", PARTED)
