@@ -90,7 +90,7 @@ def test_vectors_for_the_models_are_made_in_parts(spark, tables, in_small_parts)
     assert vectors.columns == whole.columns and rows_of(vectors) == rows_of(whole)
 
 
-MODELS = ["model_score_records", "model_lead_audit", "reason_codes", "model_leads"]
+MODELS = ["model_score_records", "model_lead_audit", "reason_codes", "model_leads", "capacity_confidence"]
 
 
 @pytest.mark.parametrize("name", MODELS)
